@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, components, heavy_hitters, packing
+from . import bpe, clustering, components, heavy_hitters, packing, vectors
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = clustering.clusters(table(spark, d, "fx_stacked"), "entity_id", "sig", 0.85)
+    return clustering.same_cluster_pairs(members)
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.clusters(table(spark, d, "fx_stacked"), "entity_id", "sig", 0.85)[1]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +31,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(links, "row_id", "other")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.nearest(table(spark, d, "fx_stacked"), "entity_id", "sig", "num_neighbors", 5, 0.65)
+    return near.select(F.least("entity", "neighbour").alias("entity_a"), F.greatest("entity", "neighbour").alias("entity_b")).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -32,7 +46,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(items, "doc_id", ["n_tokens", "segments", "loss_tokens"], [4096, 128, 4096])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_top, p5_found, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_top, p5_found, p7_found, p8_ids, p9_containers)}
 
 ORACLE = {
     "p3_found": """
