@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, clustering, components, heavy_hitters, overlaps, packing, setjoin, sketchjoin, vectors
+from . import bpe, clustering, components, heavy_hitters, overlaps, packing, setjoin, sketchjoin, subjects, vectors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,13 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(items, "doc_id", ["n_tokens", "segments", "loss_tokens"], [4096, 128, 4096])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_top, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = subjects.fit(docs, table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+    return subjects.document_subjects(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_top, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 _COSINES = """
         with u as (select entity_id as id, any_value(sig) as sig, max(num_neighbors) as k from fx_stacked where sig is not null group by entity_id),
