@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and continue from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder once and continue from the files.
+
+    A loop leaves many finished plans, shuffles and checkpoints behind. Spark removes their
+    files when the driver collects its garbage, so that is asked for now and then.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # unions of checkpointed frames may claim partition counts that differ after coalescing
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    done = df.checkpoint(eager=True)
+    if next(_cuts) % 6 == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def parallelism(spark: SparkSession) -> int:
