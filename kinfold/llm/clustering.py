@@ -154,47 +154,52 @@ def communities(edges: DataFrame, levels: int = 4, moves: int = 8) -> DataFrame:
     label, and equal gains go to the smaller label, so the moves settle.
     """
     work = edges.select("a", "b", F.lit(1.0).alias("w"))
-    member, total = None, None
-    for _ in range(levels):
+    member = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("community", F.col("id"))
+    total = None
+    for level in range(levels):
         both = cut(work.where("a <> b").select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("e")).select("e.*"))
-        loops = work.where("a = b").select("a", (2 * F.col("w")).alias("w"))
-        degree = cut(both.select("a", "w").unionByName(loops).groupBy("a").agg(F.sum("w").alias("d")))
-        if total is None:
-            total = degree.agg(F.sum("d")).first()[0]
-            if not total:
-                return edges.select(F.col("a").alias("id"), F.col("a").alias("community")).limit(0)
-        label = degree.select("a", "d", F.col("a").alias("c"))
+        if both.isEmpty():  # every community is cut off from the others
+            break
+        degree = both.groupBy("a").agg(F.sum("w").alias("d"))
+        if level:
+            loops = work.where("a = b").select("a", (2 * F.col("w")).alias("l"))
+            degree = degree.join(loops, "a", "left").select("a", (F.col("d") + F.coalesce("l", F.lit(0.0))).alias("d"))
+        else:
+            total = both.agg(F.sum("w")).first()[0]
+        label = cut(degree.select("a", "d", F.col("a").alias("c"), F.lit(False).alias("m")))
         any_move = False
         for _ in range(moves):
-            mass = label.groupBy("c").agg(F.sum("d").alias("t"), F.count(F.lit(1)).alias("n"))
-            state = label.join(mass, "c").select("a", "d", "c", "t", "n")
-            to = state.select(F.col("a").alias("b"), F.col("c").alias("bc"), F.col("t").alias("bt"), F.col("n").alias("bn"))
-            pull = both.join(to, "b").groupBy("a", "bc").agg(F.sum("w").alias("in"), F.first("bt").alias("bt"), F.first("bn").alias("bn"))
-            own = F.col("bc") == F.col("c")
-            gain = F.round(F.col("in") - F.col("d") * (F.col("bt") - F.when(own, F.col("d")).otherwise(0.0)) / total, 3)
-            scored = pull.join(state, "a").withColumn("g", gain)
-            stay = F.coalesce(F.max(F.when(own, F.col("g"))), F.lit(0.0))
-            allowed = ~own & ((F.col("n") > 1) | (F.col("bn") > 1) | (F.col("bc") < F.col("c")))
-            best = F.max(F.when(allowed, F.struct(F.col("g"), (-F.col("bc")).alias("neg"))))
-            choice = scored.groupBy("a").agg(F.first("d").alias("d"), F.first("c").alias("c"), stay.alias("stay"), best.alias("best"))
-            moved = (F.col("best.g") > F.col("stay") + 1e-9) & (F.col("best.g") > 0)
-            new = choice.select("a", "d", F.when(moved, -F.col("best.neg")).otherwise(F.col("c")).alias("c"), F.coalesce(moved, F.lit(False)).alias("m"))
-            lone = label.join(choice.select("a"), "a", "left_anti").select("a", "d", "c", F.lit(False).alias("m"))
-            after = cut(new.unionByName(lone))
-            label = after.select("a", "d", "c")
-            count = after.where("m").count()
-            any_move |= count > 0
-            if not count:
+            label = cut(_move(both, label, total))
+            if label.where("m").isEmpty():
                 break
-        step = label.select(F.col("a").alias("old"), F.col("c").alias("community"))
-        member = step.withColumnRenamed("old", "id") if member is None else cut(member.withColumnRenamed("community", "old").join(step, "old").select("id", "community"))
+            any_move = True
         if not any_move:
             break
+        step = label.select(F.col("a").alias("community"), F.col("c").alias("next"))
+        member = cut(member.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community")))
         la, lb = label.select("a", F.col("c").alias("ca")), label.select(F.col("a").alias("b"), F.col("c").alias("cb"))
-        work = work.join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+        inner = both.where("a < b").join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+        kept = work.where("a = b").join(la, "a").select(F.col("ca").alias("a"), F.col("ca").alias("b"), "w") if level else None
+        work = inner if kept is None else inner.unionByName(kept).groupBy("a", "b").agg(F.sum("w").alias("w"))
     return member
 
 
+def _move(both: DataFrame, label: DataFrame, total: float) -> DataFrame:
+    """One round of local moving: ``[a, d, c, m]``, m telling who changed community c."""
+    mass = label.groupBy("c").agg(F.sum("d").alias("t"), F.count(F.lit(1)).alias("n"))
+    state = label.select("a", "d", "c").join(mass, "c").select("a", "d", "c", "n", "t")
+    to = state.select(F.col("a").alias("b"), F.col("c").alias("bc"), F.col("t").alias("bt"), F.col("n").alias("bn"))
+    pull = both.join(to, "b").groupBy("a", "bc").agg(F.sum("w").alias("in"), F.first("bt").alias("bt"), F.first("bn").alias("bn"))
+    own = F.col("bc") == F.col("c")
+    gain = F.round(F.col("in") - F.col("d") * (F.col("bt") - F.when(own, F.col("d")).otherwise(0.0)) / total, 3)
+    stay = F.coalesce(F.max(F.when(own, F.col("g"))), F.lit(0.0))
+    allowed = ~own & ((F.col("n") > 1) | (F.col("bn") > 1) | (F.col("bc") < F.col("c")))
+    best = F.max(F.when(allowed, F.struct(F.col("g"), (-F.col("bc")).alias("neg"))))
+    choice = pull.join(state, "a").withColumn("g", gain).groupBy("a", "d", "c").agg(stay.alias("stay"), best.alias("best"))
+    moved = F.coalesce((F.col("best.g") > F.col("stay") + 1e-9) & (F.col("best.g") > 0), F.lit(False))
+    return choice.select("a", "d", F.when(moved, -F.col("best.neg")).otherwise(F.col("c")).alias("c"), moved.alias("m"))
+
+
 def _inner_pairs(members: DataFrame, vectors: DataFrame, dims: int, least: float) -> DataFrame:
     """``[c, a, b, sim]``: exact cosines of at least ``least`` inside each community.
 
