@@ -64,7 +64,7 @@ def symmetric_containment(j: Column, a: Column, b: Column) -> Column:
 
 def mash_distance(j: Column, k: int) -> Column:
     """Poisson mutation distance of k-mer sets; nothing shared is infinitely far."""
-    return F.when(j > 0, -F.log(2 * j / (1 + j)) / F.lit(float(max(k, 1)))).otherwise(F.lit(float("inf")))
+    return F.when(j > 0, F.log((1 + j) / (2 * j)) / F.lit(float(max(k, 1)))).otherwise(F.lit(float("inf")))
 
 
 def compressed_share(x: Column, base: float) -> Column:

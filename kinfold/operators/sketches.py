@@ -163,7 +163,8 @@ def bagminhash(features: DataFrame, item: str, weight: str, size: int) -> DataFr
     """Weighted (multiset) min-hash for integer weights: each unit of weight is a replica;
     one-permutation registers over the replicas. Collisions follow sum min / sum max."""
     w = features.where(F.col(item).isNotNull() & (F.col(weight) >= 1)).select("entity", F.col(item).alias("x"), F.floor(weight).cast("int").alias("w"))
-    rep = w.select("entity", F.concat_ws("#", F.col("x").cast("string"), F.explode(F.sequence(F.lit(1), F.col("w"))).cast("string")).alias("item"))
+    rep = w.select("entity", F.col("x").cast("string").alias("x"), F.explode(F.sequence(F.lit(1), F.col("w"))).alias("r"))
+    rep = rep.select("entity", F.concat_ws("#", F.col("x"), F.col("r").cast("string")).alias("item"))
     return oph(rep, "item", size)
 
 
