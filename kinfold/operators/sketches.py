@@ -37,11 +37,21 @@ def oph(features: DataFrame, item: str, size: int, seed: str | None = None, fast
 
 
 def oph_cardinality(regs: DataFrame, size: int) -> DataFrame:
-    """``[entity, card]``: S*S / sum of the registers' fractions, empty ones counting 1."""
+    """``[entity, card]``: S*S / sum of the registers' fractions, empty ones counting 1.
+    Biased upwards below about ten items per register; ``cardinality`` counts those."""
     total = F.sum(F.col("v") / RANGE) + (size - F.count(F.lit(1)))
     return regs.groupBy("entity").agg((F.lit(float(size * size)) / total).alias("card"))
 
 
+def cardinality(features: DataFrame, item: str, size: int) -> DataFrame:
+    """``[entity, card]``: the estimate, or the exact count where that is below 10 S. Both
+    come from one pass over the distinct items of the small entities only."""
+    est = oph_cardinality(oph(features, item, size), size)
+    small = est.where(F.col("card") < 10.0 * size * 1.5).select("entity")
+    exact = features.where(F.col(item).isNotNull()).join(small, "entity").groupBy("entity").agg(F.countDistinct(item).cast("double").alias("n"))
+    return est.join(exact, "entity", "left").select("entity", F.when(F.col("n") < 10 * size, F.col("n")).otherwise(F.col("card")).alias("card"))
+
+
 def oph_exponential(regs: DataFrame, size: int) -> DataFrame:
     """Registers as exponential values; empty registers would be 0 and have no row."""
     used = F.count(F.lit(1)).over(Window.partitionBy("entity"))

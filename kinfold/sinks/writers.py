@@ -16,7 +16,7 @@ from ..config import SketchConfig
 
 
 def _cell(v: Column) -> Column:
-    return F.coalesce(F.format_string("%.6g", v), F.lit("-"))
+    return F.coalesce(F.round(v, 6).cast("string"), F.lit("-"))
 
 
 def matrix_text(values: DataFrame, names: DataFrame, path: str, phylip: bool = False) -> None:
@@ -48,7 +48,7 @@ def matrix_binary(values: DataFrame, path: str) -> None:
 
 def graph_text(edges: DataFrame, path: str, score: str = "score") -> None:
     """``name<TAB>nbr:score...`` of ``edges [i, j, score]``, best first."""
-    cells = F.transform(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col("j")))), lambda x: F.concat(x["j"].cast("string"), F.lit(":"), F.format_string("%.8g", -x["s"])))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col("j")))), lambda x: F.concat(x["j"].cast("string"), F.lit(":"), F.round(-x["s"], 8).cast("string")))
     edges.groupBy("i").agg(cells.alias("c")).orderBy("i").select(F.concat_ws("\t", F.col("i").cast("string"), F.array_join("c", "\t")).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -234,7 +234,7 @@ def read_bed(spark: SparkSession, paths: str, strip_chr: bool = False) -> DataFr
     chrom = F.regexp_replace(c[0], "^chr", "") if strip_chr else c[0]
     bad = F.raise_error(F.concat(F.lit("not an interval line: "), F.col("line"))).cast("bigint")
     whole = F.size(c) >= 3
-    return _tab(spark, paths).select("path", chrom.alias("chrom"), F.when(whole, c[1].cast("bigint")).otherwise(bad).alias("start"), F.when(whole, F.try_element_at(c, F.lit(3)).cast("bigint")).alias("end"))
+    return _tab(spark, paths).select("path", chrom.alias("chrom"), F.when(whole, F.try_element_at(c, F.lit(2)).cast("bigint")).otherwise(bad).alias("start"), F.when(whole, F.try_element_at(c, F.lit(3)).cast("bigint")).alias("end"))
 
 
 def read_bedgraph(spark: SparkSession, paths: str) -> DataFrame:
@@ -268,4 +268,4 @@ def read_paths(spark: SparkSession, listing: str, queries: str | None = None) ->
 
 def read_pair_list(spark: SparkSession, path: str) -> DataFrame:
     c = F.split(F.trim("value"), "\\s+")
-    return spark.read.text(path).where("trim(value) <> ''").select(c[0].alias("lhs"), c[1].alias("rhs"))
+    return spark.read.text(path).where("trim(value) <> ''").select(c[0].alias("lhs"), F.try_element_at(c, F.lit(2)).alias("rhs"))
