@@ -24,7 +24,9 @@ _DROP = re.compile(
 )
 _PLAIN = re.compile(r"\\(?:input|magnification)[^\n{]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_ACCENT = re.compile(r"\\([\"'`^~=.]|[cvuHk](?![A-Za-z]))\s*\{?\s*(\\?[A-Za-z])\s*\}?|\\([lLoOij]|ss|ae|AE|oe|OE|aa|AA)(?![A-Za-z])\s?(?:\{\})?")
+_ACCENT = re.compile(
+    r"\\([\"'`^~=.]|[cvuHk](?![A-Za-z]))\s*(?:\{\s*(\\?[A-Za-z])\s*\}|(\\?[A-Za-z]))|\\([lLoOij]|ss|ae|AE|oe|OE|aa|AA)(?![A-Za-z])\s?(?:\{\})?"
+)
 #: What accent commands stand for.
 _MARK = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327", "v": "\u030c", "u": "\u0306", "H": "\u030b", "k": "\u0328"}
 _LETTER = {"l": "ł", "L": "Ł", "o": "ø", "O": "Ø", "i": "i", "j": "j", "ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "aa": "å", "AA": "Å"}
@@ -46,9 +48,9 @@ def _group(text: str, at: int) -> int:
 def _accent(m: re.Match) -> str:
     import unicodedata
 
-    if m.group(3):
-        return _LETTER[m.group(3)]
-    return unicodedata.normalize("NFC", m.group(2).lstrip("\\") + _MARK[m.group(1)])
+    if m.group(4):
+        return _LETTER[m.group(4)]
+    return unicodedata.normalize("NFC", (m.group(2) or m.group(3)).lstrip("\\") + _MARK[m.group(1)])
 
 
 def _repair(m: re.Match) -> str:

@@ -6,8 +6,9 @@ union (the k smallest of both) estimates the Jaccard similarity, and pairs whose
 cannot belong to a similar pair are dropped. What is left is verified on all k-mers.
 
 Values in very many sketches (adapters, boilerplate) are left out of the lists, and the
-next retained values take their place; a sequence that has too few others is looked up by
-all of its values, against the full lists.
+next retained values take their place. A similar pair shares about the threshold's share of
+each side's values at least; a sequence of which half that share is very common, as in a
+large group of near-duplicates, is looked up by all of its values against the full lists.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def similar_sequences(df: DataFrame, id_col: str, seq_col: str, k: int, num: int
     own = flat.join(hot, "v").groupBy("rep").agg(F.collect_set("v").alias("hot"))
     none = F.array().cast("array<bigint>")
     marked = sets.join(own, "rep", "left").withColumn("light", F.array_except("sk", F.coalesce("hot", none)))
-    lists = cut(marked.select("rep", "n", F.slice("light", 1, size // 2).alias("vs"), (F.size("light") < F.least(F.lit(size // 4), F.size("sk") / 2)).alias("bare")))
+    lists = cut(marked.select("rep", "n", F.slice("light", 1, size // 2).alias("vs"), (F.size("sk") - F.size("light") > F.size("sk") * (num / den / 2)).alias("bare")))
     inv = lists.select("rep", "n", F.explode("vs").alias("v"))
     ia = inv.select("v", F.col("rep").alias("a"), F.col("n").alias("na"))
     ib = inv.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
