@@ -4,13 +4,30 @@ from __future__ import annotations
 
 import gc
 import itertools
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever the driver runs from: once
+    per application, its source goes to them as a zip file."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="kinfold-code-")  # Spark serves it from the driver
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "kinfold"), "zip", os.path.dirname(here), os.path.basename(here)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir`` (one Parquet file or a folder of parts)."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def _fresh(done: DataFrame) -> DataFrame:
+    """A checkpoint as a plain source of rows.
+
+    The frame that Spark returns keeps its plan's partitioning claim, constraints and size
+    estimate. Over the rounds of a loop the estimates are multiplied by each other until
+    planning takes minutes, and unions of such frames may claim partition counts that differ.
+    """
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    spark, jdf = done.sparkSession, done._jdf
+    return Classic(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+
+
 _cuts = itertools.count(1)
 
 
@@ -44,9 +74,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    # unions of checkpointed frames may claim partition counts that differ after coalescing
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    done = df.checkpoint(eager=True)
+    done = _fresh(df.checkpoint(eager=True))
     if next(_cuts) % 6 == 0:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
