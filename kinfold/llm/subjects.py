@@ -155,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 2
     if not prior.sum():
         return SubjectModel(names, np.full(size, 1 / max(size, 1)))
     prior = (prior + 0.5) / (prior + 0.5).sum()
-    # words in over a fifth of a language's documents begin and end no item; there are at
-    # most five times as many of them as a document has words
+    # words in over two fifths of a language's documents begin and end no item; there are at
+    # most two and a half times as many of them as a document has words
     docs_in = read_docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     used = read_docs.select("lang", F.explode(F.array_distinct(F.split("words", r"\s+"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
     stop: dict[str, set[str]] = {}
-    for r in used.join(docs_in, "lang").where(F.col("c") > F.greatest(0.2 * F.col("n"), F.lit(3.0))).select("lang", "w").collect():
+    for r in used.join(docs_in, "lang").where(F.col("c") > F.greatest(0.4 * F.col("n"), F.lit(3.0))).select("lang", "w").collect():
         stop.setdefault(r["lang"], set()).add(r["w"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
