@@ -73,7 +73,7 @@ def doc_oph_cardinality(spark, d):
 
 
 def _doc_pairs(spark, d):
-    return P.register_pairs(S.oph(_shingles(spark, d), "shingle", 128), most=256).select("i", "j", M.similarity(F.col("eq"), 128).alias("score"))
+    return P.register_pairs(S.oph(_shingles(spark, d), "shingle", 128)).select("i", "j", M.similarity(F.col("eq"), 128).alias("score"))
 
 
 @query(f"""with {_DPAIR}, e as (select i, j, eq from p union all select j, i, eq from p),
