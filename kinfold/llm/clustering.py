@@ -8,6 +8,8 @@
 3. Exact check. The pairs inside a community are recomputed from the doubles; a community
    in which not all members are similar is divided into cliques, members with the highest
    internal weighted degree first.
+4. Union. Cliques that share a link, or whose centres are neighbours, are compared exactly
+   and united where all their members are similar, until nothing can be united.
 
 Equal vectors are one vertex throughout, so copies cost nothing until the result is spelled
 out. Every step works on keyed runs of bounded length; no community is collected.
@@ -15,6 +17,7 @@ out. Every step works on keyed runs of bounded length; no community is collected
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, parallelism
-from .components import union_all
+from .components import components, union_all
 from .vectors import binaries, dimension, distinct_vectors, packed
 
 _RUN = 512  # rows of one key that are compared with each other at once
@@ -34,7 +37,8 @@ def _runs(batches: Iterator[pa.RecordBatch], work: Callable, schema: list[str])
     """Feed ``work(rep, vectors, extra)`` with the rows of each key of a sorted partition.
 
     A key may span batches. Rows of a key beyond ``_RUN`` are compared in windows that
-    overlap by half, so memory stays bounded.
+    overlap by half, so memory stays bounded; their order, and so the windows, should
+    differ from key to key.
     """
     key, held = None, []
 
@@ -129,7 +133,7 @@ def neighbour_graph(vectors: DataFrame, dims: int, k: int = 16, floor: float = 0
     compare = _compare(dims, k, floor)
 
     def within(keyed: DataFrame) -> DataFrame:
-        return keyed.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(lambda it: _runs(it, compare, ["a", "b", "s"]), pair)
+        return keyed.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "rep")).mapInArrow(lambda it: _runs(it, compare, ["a", "b", "s"]), pair)
 
     graph = cut(_keep(within(coded.mapInArrow(seeds, "key bigint, rep bigint, q binary")).withColumn("new", F.lit(1)), k))
     for _ in range(rounds):
@@ -146,17 +150,18 @@ def neighbour_graph(vectors: DataFrame, dims: int, k: int = 16, floor: float = 0
     return graph.select("a", "b", "s")
 
 
-def communities(edges: DataFrame, levels: int = 4, moves: int = 8) -> DataFrame:
+def communities(edges: DataFrame, moves: int = 8) -> DataFrame:
     """``[id, community]`` of the vertices of ``edges [a, b]`` (undirected, each once), by
     modularity: local moving with unit weights, then contraction, until nothing merges.
 
     All vertices move at once; two single vertices swap places only towards the smaller
-    label, and equal gains go to the smaller label, so the moves settle.
+    label, and equal gains go to the smaller label. After ``moves`` rounds at most, what has
+    come together is contracted and goes on moving as one, level after level.
     """
     work = edges.select("a", "b", F.lit(1.0).alias("w"))
     member = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("community", F.col("id"))
     total = None
-    for level in range(levels):
+    for level in itertools.count():
         both = cut(work.where("a <> b").select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("e")).select("e.*"))
         if both.isEmpty():  # every community is cut off from the others
             break
@@ -167,13 +172,12 @@ def communities(edges: DataFrame, levels: int = 4, moves: int = 8) -> DataFrame:
         else:
             total = both.agg(F.sum("w")).first()[0]
         label = cut(degree.select("a", "d", F.col("a").alias("c"), F.lit(False).alias("m")))
-        any_move = False
         for _ in range(moves):
             label = cut(_move(both, label, total))
             if label.where("m").isEmpty():
                 break
-            any_move = True
-        if not any_move:
+        sizes = label.agg(F.count(F.lit(1)), F.countDistinct("c")).first()
+        if sizes[0] == sizes[1]:  # nothing came together
             break
         step = label.select(F.col("a").alias("community"), F.col("c").alias("next"))
         member = cut(member.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community")))
@@ -261,10 +265,10 @@ def _cliques(members: DataFrame, inner: DataFrame) -> DataFrame:
     of higher rank (internal weighted degree, then the smaller id); these form a clique. The
     others are ranked anew, round after round. A community that is a clique takes one round.
     """
-    size = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    size = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("cluster"))
     links = inner.groupBy("c").agg(F.count(F.lit(1)).alias("e"))
     whole = size.join(links, "c", "left").withColumn("clean", F.coalesce("e", F.lit(0)) * 2 == F.col("n") * (F.col("n") - 1))
-    done = [cut(members.join(whole.where("clean").select("c"), "c").select(F.col("c").alias("cluster"), "rep"))]
+    done = [cut(members.join(whole.where("clean").select("c", "cluster"), "c").select("cluster", "rep"))]
     rest = cut(members.join(whole.where("not clean").select("c"), "c").select("c", "rep"))
     while not rest.isEmpty():
         live = rest.select("rep")
@@ -283,6 +287,74 @@ def _cliques(members: DataFrame, inner: DataFrame) -> DataFrame:
     return union_all(done)
 
 
+def _centres(groups: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
+    """``[rep, unit]``: each cluster and the mean of its members' unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, n = None, np.zeros(dims), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, u = b.column(0).to_numpy(), packed(b.column(1), "<f8", dims)
+            edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            ids, means = [], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if keys[lo] != key:
+                    if n:
+                        ids.append(key)
+                        means.append(total / n)
+                    key, total, n = keys[lo], np.zeros(dims), 0
+                total, n = total + u[lo:hi].sum(axis=0), n + hi - lo
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), binaries(np.array(means, "<f8"))], ["rep", "unit"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), binaries((total / n)[None, :].astype("<f8"))], ["rep", "unit"])
+
+    keyed = groups.join(vectors, "rep").select("cluster", "unit").repartition(parallelism(groups.sparkSession), "cluster").sortWithinPartitions("cluster")
+    return keyed.mapInArrow(run, "rep bigint, unit binary")
+
+
+def _united(groups: DataFrame, links: DataFrame, vectors: DataFrame, dims: int, least: float, graph_k: int) -> tuple[DataFrame, bool]:
+    """``groups [cluster, rep]`` with cliques united that are one clique together, and
+    whether there were any.
+
+    Candidates are cliques that share a link and cliques with neighbouring centres; the
+    product of two centres is the mean of all cosines across, which must reach ``least``.
+    The pairs of all cliques that hang together by candidates are then computed exactly.
+    Every round unites some cliques, or is the last.
+    """
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = packed(b.column(2), "<f8", dims), packed(b.column(3), "<f8", dims)
+            ok = (x * y).sum(axis=1) >= least - 1e-8
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(2)], ["a", "b"])
+
+    changed = False
+    while True:
+        centres = cut(_centres(groups, vectors, dims))
+        near = neighbour_graph(centres, dims, k=graph_k, floor=max(0.0, least - 0.03)).select("a", "b")
+        ga, gb = groups.select(F.col("rep").alias("a"), F.col("cluster").alias("ca")), groups.select(F.col("rep").alias("b"), F.col("cluster").alias("cb"))
+        across = links.join(ga, "a").join(gb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        asked = across.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        asked = asked.join(centres.select(F.col("rep").alias("a"), F.col("unit").alias("x")), "a").join(centres.select(F.col("rep").alias("b"), F.col("unit").alias("y")), "b")
+        parts = cut(components(cut(asked.select("a", "b", "x", "y").mapInArrow(close, "a bigint, b bigint")), "a", "b").select(F.col("group_id").alias("c"), F.col("record_id").alias("rep")))
+        if parts.isEmpty():
+            break
+        live = cut(groups.join(parts.select("c", F.col("rep").alias("cluster")), "cluster").select("c", "cluster", "rep"))
+        pairs = _inner_pairs(live.select("c", "rep"), vectors, dims, least)
+        size = live.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        between = pairs.join(ga, "a").join(gb, "b").where("ca <> cb").groupBy("c", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count(F.lit(1)).alias("e"), F.sum("sim").alias("sim"))
+        na, nb = size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), size.select(F.col("cluster").alias("b"), F.col("n").alias("nb"))
+        whole = cut(between.join(na, "a").join(nb, "b").where("e = na * nb").select("c", "a", "b", "sim"))
+        if whole.isEmpty():
+            break
+        to = _cliques(parts, whole).select(F.col("cluster").alias("to"), F.col("rep").alias("cluster"))
+        groups = cut(groups.join(to, "cluster", "left").select(F.coalesce("to", "cluster").alias("cluster"), "rep"))
+        changed = True
+    return groups, changed
+
+
 def clusters(df: DataFrame, id_col: str, vec: str, least: float = 0.85, typical: int = 3, graph_k: int = 16) -> tuple[DataFrame, DataFrame]:
     """``members [cluster, entity]`` and ``summary [cluster, size, typical]``.
 
@@ -302,11 +374,14 @@ def clusters(df: DataFrame, id_col: str, vec: str, least: float = 0.85, typical:
     graph = neighbour_graph(vectors, dims, k=graph_k, floor=max(0.0, least - 0.25))
     # int8 codes err by 0.03 at most here; the exact check follows
     links = graph.where(F.col("s") >= least - 0.03).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = cut(communities(cut(links)).select(F.col("id").alias("rep"), F.col("community").alias("c")))
+    links = cut(links)
+    found = cut(communities(links).select(F.col("id").alias("rep"), F.col("community").alias("c")))
     inner = cut(_inner_pairs(found, vectors, dims, least))
     groups = _cliques(found, inner)
     alone = vectors.select("rep").join(groups.select("rep"), "rep", "left_anti").select(F.col("rep").alias("cluster"), "rep")
-    groups = cut(groups.unionByName(alone))
+    groups, changed = _united(cut(groups.unionByName(alone)), links, vectors, dims, least, graph_k)
+    if changed:
+        inner = cut(_inner_pairs(groups.select(F.col("cluster").alias("c"), "rep"), vectors, dims, least))
     first = groups.groupBy("cluster").agg(F.min("rep").alias("low"))
     groups = groups.join(first, "cluster").select(F.col("low").alias("cluster"), "rep")
     members = cut(groups.join(entities.select("id", "rep"), "rep").select("cluster", F.col("id").alias("entity"), "rep"))

@@ -99,3 +99,15 @@ def test_chains_are_divided_into_cliques(spark):
         groups.setdefault(r["cluster"], []).append(r["entity"])
     assert sum(map(len, groups.values())) == 25
     assert all(s[a, b] >= 0.85 - 1e-9 for g in groups.values() for a in g for b in g)
+
+
+def test_a_large_group_stays_one_cluster(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(24)
+    rows = [centre + 0.2 * rng.standard_normal(24) for _ in range(400)]
+    rows += [rng.standard_normal(24) for _ in range(100)]
+    s = np.round(unit(rows) @ unit(rows).T, 9)
+    assert s[:400, :400].min() >= 0.85 > s[:400, 400:].max()
+    members, _ = clustering.clusters(frame(spark, rows, [None] * len(rows)), "id", "v", 0.85)
+    assert len({r["cluster"] for r in members.collect() if r["entity"] < 400}) == 1
+    assert clustering.same_cluster_pairs(members).where("entity_a < 400").count() == 400 * 399 // 2
