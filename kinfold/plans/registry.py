@@ -357,12 +357,12 @@ def csr_discrete_cardinality(spark, d):
     return S.discrete_cardinality(S.discretise(S.setsketch(_csr(spark, d), "item", 16), b, a, q), 16, b, a).select("entity", F.round("card", 6).alias("card"))
 
 
-def _discrete_pairs(spark, d):
+def _discrete_pairs(spark, d, least=1):
     b, a, q = S.PRESETS["byte"]
     m = _csr(spark, d)
     disc = S.discretise(S.setsketch(m, "item", 16), b, a, q)
     arrays = S.wide(disc.withColumnRenamed("k", "v"), 16)
-    return P.with_sizes(P.compare_arrays(P.shared_items(m, "item").where("shared >= 10"), arrays), C.cardinality(m, "item"), "card")
+    return P.with_sizes(P.compare_arrays(P.shared_items(m, "item").where(F.col("shared") >= least), arrays), C.cardinality(m, "item"), "card")
 
 
 @query(f"""with {_DISC}, n as (select entity, count(*) as n from m group by entity),
@@ -372,7 +372,7 @@ def _discrete_pairs(spark, d):
  u as (select *, case when ga + gb >= 1 then a + b else (a + b) / (2 - ga - gb) end as un from g)
  select i, j, round(greatest(a + b - un, 0) / un, 9) as similarity from u""")
 def csr_compressed_similarity(spark, d):
-    q = _discrete_pairs(spark, d)
+    q = _discrete_pairs(spark, d, 10)  # as the SQL has it
     return q.select("i", "j", r9(M.compressed_similarity(F.col("gt") / 16, F.col("lt") / 16, F.col("a"), F.col("b"), 1.2)).alias("similarity"))
 
 
