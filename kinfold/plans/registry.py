@@ -229,10 +229,25 @@ def seq_edit_distance(spark, d):
     return pairs.select("i", "j", F.levenshtein("x", "y").alias("dist"))
 
 
+def _seq_similar(spark, d):
+    """``[i, j]``: pairs with a quarter or more of their filled registers equal; reads of
+    fewer distinct 12-mers than registers also by their exact Jaccard similarity."""
+    km = _kmers(spark, d, 12)
+    regs = S.oph(km, "kmer", 64)
+    mask = regs.groupBy("entity").agg(F.bit_or(F.expr("shiftleft(1L, reg)")).alias("m"))
+    near = P.with_sizes(P.register_pairs(regs), mask, "m").where(F.col("eq") * 4 >= F.bit_count(F.col("a").bitwiseOR(F.col("b")))).select("i", "j")
+    sets, n = C.exact_sets(km, "kmer"), C.cardinality(km, "kmer")
+    few = sets.join(n.where("card < 64").select("entity"), "entity").select(F.col("entity").alias("x"), "kmer")
+    met = few.join(sets.select(F.col("entity").alias("y"), "kmer"), "kmer").where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "shared").distinct()
+    exact = P.with_sizes(met, n, "card").where(F.col("shared") * 4 >= F.col("a") + F.col("b") - F.col("shared")).select("i", "j")
+    return near.unionByName(exact).distinct()
+
+
 @query()
 def seq_minimizer_edit(spark, d):
     seqs = K.sequence_of(K.minimizers(_kmers(spark, d, 12), 10, hpc=True), "h")
-    return P.sequence_edit(_seq_pairs(spark, d), seqs)
+    return P.sequence_edit(_seq_similar(spark, d), seqs)
 
 
 @query(f"with {_MIN}, n as (select entity, row_number() over (partition by entity order by pos) as k, h from mi) select x.entity as i, y.entity as j, count(*) as matches from n x join n y on x.k = y.k and x.h = y.h and x.entity < y.entity group by 1, 2")

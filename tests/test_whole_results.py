@@ -10,3 +10,11 @@ def test_joint_ml_has_every_overlapping_pair(spark, tmp_path):
     got = {(r["i"], r["j"]): r["j_ml"] for r in registry.csr_joint_ml(spark, str(tmp_path)).collect()}
     assert set(got) == {(i, j) for i in sets for j in sets if i < j and set(sets[i]) & set(sets[j])}
     assert got[1, 2] > 0.99
+
+
+def test_minimizer_edit_has_short_reads(spark, tmp_path):
+    short, other = "ACGTTGCATTAGCCA", "GGATCCATTTGACAGTTCAA"
+    rows = [(1, short), (2, short), (3, other), (4, other + "T"), (5, "ACG")]
+    spark.createDataFrame(rows, "seq_id bigint, seq string").write.parquet(f"{tmp_path}/fx_sequences.parquet")
+    got = {(r["i"], r["j"]): r["dist"] for r in registry.seq_minimizer_edit(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 2), (3, 4)} and got[1, 2] == 0
