@@ -129,14 +129,20 @@ _tables: dict[str, _Tables] = {}
 _cuts = itertools.count(1)
 
 
-def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was read, in at least one partition per core: for heavy work on rows that
+    are few. A table of more splits than that is left as it is; split sizes decide."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder, once, and continue from the files.
 
     The files cut the lineage and outlive executors, like a checkpoint; but the plan runs
     once (an eager checkpoint runs its last stage twice), rows are compressed, later plans
-    read only the columns they need, and the planner knows the true size. ``parts`` asks for
-    that many partitions where later work per row is heavy. Files of tables that no plan
-    refers to any more are deleted now and then; of long loops, that keeps the last rounds.
+    read only the columns they need, and the planner knows the true size. Files of
+    tables that no plan refers to any more are deleted now and then.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -148,7 +154,7 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     held.hold(spark, done, path)
     if next(_cuts) % 8 == 0:
         held.sweep(spark)
-    return done.repartition(parts) if parts else done
+    return done
 
 
 def mark(df: DataFrame) -> DataFrame:
