@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -42,24 +43,24 @@ def test_similar_sets_equal_brute_force(spark, num, den, common, most):
     assert len(got) == len(set(got)) and set(got) == similar(sets, num, den)
 
 
-def test_probe_meets_index_within_the_bound():
-    import numpy as np
+@pytest.mark.parametrize(("num", "den"), [(3, 5), (1, 2), (9, 10)])
+def test_probe_meets_index_within_the_bound(num, den):
+    """Whichever tokens are rare, a similar pair shares a signature of the right group."""
+    plan = setjoin._Plan(num, den)
 
-    plan = setjoin._Plan(3, 5)
-
-    @settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
-    @given(st.sets(st.integers(0, 5000), min_size=1, max_size=40), st.sets(st.integers(0, 5000), max_size=12), st.sets(st.integers(0, 39), max_size=10))
-    def check(x, more, less):
+    @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.sets(st.integers(0, 5000), min_size=1, max_size=40), st.sets(st.integers(0, 5000), max_size=12), st.sets(st.integers(0, 39), max_size=10), st.integers(0, 5000))
+    def check(x, more, less, hot):
         y = (x | more) - {v for i, v in enumerate(sorted(x)) if i in less}
-        if not y or len(x & y) * 5 < len(x | y) * 3 or x == y:
+        if not y or len(x & y) * den < len(x | y) * num or x == y:
             return
-        a, b = sorted((x, y), key=len)
-        ta, tb = np.array(sorted(a)), np.array(sorted(b))
-        every = np.ones(len(ta), bool), np.ones(len(tb), bool)
-        keys, since, short = setjoin.probe(ta, every[0], plan)
-        g = plan.group(len(tb))
-        if short is None or g < short:
-            assert set(keys[since <= g].tolist()) & set(setjoin.index(tb, every[1], plan).tolist())
+        a, b = (np.array(sorted(v)) for v in sorted((x, y), key=len))
+        one = lambda v: (np.zeros(len(v), int), v, v >= hot, np.array([len(v)]))
+        keys, _, since, poor = setjoin.probes(*one(a), plan)
+        g = plan.group(len(b))
+        rich, rest = set(setjoin.entries(*one(b), plan, False)[0].tolist()), set(setjoin.entries(*one(b), plan, True)[0].tolist())
+        need = since <= g
+        assert set(keys[need].tolist()) & rich or set(keys[need & poor].tolist()) & rest
 
     check()
 
@@ -124,19 +125,34 @@ def test_overlaps_equal_brute_force_and_changes_keep_counts(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_joins_and_leaves(spark):
-    state = overlaps.PairCounts.empty(spark, most=3)
+def test_joins_and_leaves(spark, tmp_path):
+    """Three change sets and a merge; every second one continues from the stored state."""
+    state = overlaps.PairCounts.open(spark, f"{tmp_path}/state", most=3, buckets=3)
     have: dict[int, set[int]] = {i: set() for i in range(8)}
     rng = random.Random(4)
-    for _ in range(3):
+    for step in range(4):
         changes = []
         for i in have:
             for v in range(12):
                 if rng.random() < 0.3:
                     changes.append((i, v, -1 if v in have[i] else 1))
                     have[i] ^= {v}
-        state = state.apply(spark.createDataFrame(changes, "row bigint, item bigint, sign int"))
+        state = state.apply(spark.createDataFrame(changes, "row bigint, item bigint, sign int"), merge_at=3)
+        if step % 2:
+            state = overlaps.PairCounts.open(spark, f"{tmp_path}/state")
+            assert (state.most, state.buckets) == (3, 3)
         common = {r[0] for r in state.common.collect()}
         want = {(a, b): n for a in have for b in have if a < b and (n := len((have[a] & have[b]) - common))}
         assert {(r["a"], r["b"]): r["n"] for r in state.pairs.collect()} == want
         assert state.members.agg(F.count("*")).first()[0] == sum(map(len, have.values()))
+
+
+def test_a_small_change_reads_its_buckets_only(spark, tmp_path):
+    state = overlaps.PairCounts.open(spark, f"{tmp_path}/state", buckets=8)
+    rows = [(i, v, 1) for i in range(20) for v in range(50)]
+    state = state.apply(spark.createDataFrame(rows, "row bigint, item bigint, sign int"))
+    plan = state._log().where(F.col("b").isin([3]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "b#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    state = state.apply(spark.createDataFrame([(0, 7, -1), (99, 8, 1)], "row bigint, item bigint, sign int"))
+    n = {(r["a"], r["b"]): r["n"] for r in state.pairs.collect()}
+    assert n[0, 1] == 49 and n[1, 2] == 50 and n[5, 99] == 1
