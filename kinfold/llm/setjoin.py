@@ -5,10 +5,12 @@ H = (1-t)/(1+t) * (n+m) tokens. The token universe is divided into segments whos
 depends on the length group of the smaller set. Give the smaller set an allowance of 1 or 2
 in some of its segments, H + 1 in total: then in one of them the sets agree exactly, or
 differ in one token at most. Equality is an equi-join on a segment's signature; a difference
-of one token is one on the signatures with one token left out. A segment gets an allowance
-only as far as its signatures still contain a token that is not among the very common ones,
-so no bucket of the join is long. Sets with too few such tokens are compared on the rarest
-tokens of their prefix instead, which is exact too. Candidates are verified exactly.
+of one token is one on the signatures with one token left out.
+
+Allowance goes first to signatures that hold a token which is not very common, so that
+their buckets are short. A set without enough of these also looks up its poorer signatures,
+down to empty segments; those are indexed only when there is such a set. All signatures of
+a batch of sets are computed at once. Candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,10 +61,10 @@ def expand(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def hot_tokens(sets: DataFrame, arr: str, most: int) -> DataFrame:
-    """``sets`` with a column ``hot``: [count, token] of its tokens in over ``most`` sets."""
+    """``sets`` with a column ``hot``: those of its tokens that are in over ``most`` sets."""
     flat = sets.select("rep", F.explode(arr).alias("t"))
     hot = cut(flat.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most))
-    own = flat.join(hot, "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("hot"))
+    own = flat.join(hot, "t").groupBy("rep").agg(F.collect_list("t").alias("hot"))
     return cut(sets.join(own, "rep", "left"))
 
 
@@ -87,7 +89,15 @@ class _Plan:
         return self.low[g + 1] - 1
 
     def segments(self, g: int) -> int:
-        return max(1, round(self.high(g) / self.per_segment))
+        """At least half of the allowance that can be needed: each segment takes up to 2."""
+        high = self.high(g)
+        return max(1, round(high / self.per_segment), -(-(self.differ(high, self.largest(high)) + 1) // 2))
+
+    def tables(self, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """First length and number of segments of each length group up to that of the
+        longest set that can be similar to one of ``longest`` tokens."""
+        last = self.group(self.largest(longest))
+        return np.array(self.low[: last + 1]), np.array([self.segments(g) for g in range(last + 1)])
 
     def largest(self, n: int) -> int:
         return int(n / self.t)
@@ -98,93 +108,119 @@ class _Plan:
     def differ(self, n: int, m: int) -> int:
         return int((1 - self.t) / (1 + self.t) * (n + m))
 
-    def overlap(self, n: int) -> int:
-        """Tokens shared by a set of size n and any similar set at least as large."""
-        return -int(-(2 * self.t / (1 + self.t) * n) // 1)
-
-
-def _segments(tokens: np.ndarray, g: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    seg = (mix(tokens ^ np.int64(g * 7919 + 13)) % np.uint64(m)).astype(np.int64)
-    return seg, mix(tokens)
-
 
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
-def _key(total: np.ndarray, seg: np.ndarray, g: int, kind: int) -> np.ndarray:
+def _key(total: np.ndarray, seg: np.ndarray, g: np.ndarray, kind: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(total + seg.astype(np.uint64) * _SALT + np.uint64(g * 4 + kind) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
-
-
-def _summary(tokens: np.ndarray, rare: np.ndarray, g: int, m: int):
-    """Per used segment: its number, hash sum and rare tokens; and the tokens' places."""
-    seg, h = _segments(tokens, g, m)
-    order = np.argsort(seg, kind="stable")
-    seg, h, rare = seg[order], h[order], rare[order]
-    start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-    with np.errstate(over="ignore"):
-        total = np.add.reduceat(h, start)
-    r = np.add.reduceat(rare.astype(np.int64), start)
-    at = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(seg)]])))
-    return seg[start], total, r, at, h, rare
-
-
-def probe(tokens: np.ndarray, rare: np.ndarray, plan: _Plan):
-    """Signatures that the set looks up: (keys, length group from which each is needed),
-    and the group from which the rare tokens don't suffice (or None)."""
-    n = len(tokens)
-    g = plan.group(n)
-    seg, total, r, at, h, rr = _summary(tokens, rare, g, plan.segments(g))
-    order = np.argsort(-r, kind="stable")
-    worth = np.minimum(r[order], 2)
-    have = np.cumsum(worth)
-    last = plan.group(plan.largest(n))
-    since = np.full(len(seg), 1 << 30)
-    short = None
-    done = 0
-    for p in range(g, last + 1):
-        need = plan.differ(n, min(plan.high(p), plan.largest(n))) + 1
-        if have[-1] < need:
-            short = p
-            break
-        upto = int(np.searchsorted(have, need)) + 1
-        since[order[done:upto]] = p
-        done = max(done, upto)
-    used = np.flatnonzero((since < 1 << 30) & (r > 0))
-    keys, groups = [_key(total[used], seg[used], g, 0)], [since[used]]
-    two = used[r[used] >= 2]
-    keys.append(_key(total[two], seg[two], g, 1))
-    groups.append(since[two])
-    flag = np.zeros(len(seg), bool)
-    flag[two] = True
-    tok = np.flatnonzero(flag[at])
-    with np.errstate(over="ignore"):
-        keys.append(_key(total[at[tok]] - h[tok], seg[at[tok]], g, 0))
-    groups.append(since[at[tok]])
-    return np.concatenate(keys), np.concatenate(groups), short
-
-
-def index(tokens: np.ndarray, rare: np.ndarray, plan: _Plan) -> np.ndarray:
-    """Signatures under which the set can be found by sets no larger than itself."""
-    n, keys = len(tokens), []
-    for g in range(plan.group(max(1, plan.smallest(n))), plan.group(n) + 1):
-        seg, total, r, at, h, rr = _summary(tokens, rare, g, plan.segments(g))
-        used = np.flatnonzero(r > 0)
-        keys.append(_key(total[used], seg[used], g, 0))
-        tok = np.flatnonzero(r[at] - rr >= 2)
+        return mix(total + seg.astype(np.uint64) * _SALT + (g * 4 + kind).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+
+
+class _Cut:
+    """Sets of a batch cut into segments: a row per segment (``row`` the set, ``g``, ``seg``,
+    hash sum ``total``, number of tokens ``size`` and of rare ones ``r``, empty segments
+    included where asked for) and per token (``at`` its segment, ``h``, ``rare``)."""
+
+    def __init__(self, row: np.ndarray, tokens: np.ndarray, rare: np.ndarray, g: np.ndarray, m: np.ndarray, empty: bool):
+        """``g``, ``m``: length group and number of segments by set, -1 and 0 for none."""
+        kept = m[row] > 0
+        row, tokens, rare = row[kept], tokens[kept], rare[kept]
+        seg = (mix(tokens ^ (g[row] * 7919 + 13)) % m[row].astype(np.uint64)).astype(np.int64)
+        base = np.cumsum(m) - m
+        code = base[row] + seg
+        order = np.argsort(code, kind="stable")
+        code, self.h, self.rare = code[order], mix(tokens[order]), rare[order]
+        if empty:
+            used = np.arange(int(m.sum()))
+            self.at = code
+        else:
+            used, self.at = np.unique(code, return_inverse=True)
+        n = len(used)
+        self.row = np.repeat(np.arange(len(m)), m)[used]
+        self.seg, self.g = used - base[self.row], g[self.row]
+        self.size = np.bincount(self.at, minlength=n)
+        self.r = np.bincount(self.at, weights=self.rare, minlength=n).astype(np.int64)
+        self.total = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
-            keys.append(_key(total[at[tok]] - h[tok], seg[at[tok]], g, 1))
-    return np.concatenate(keys)
+            np.add.at(self.total, self.at, self.h)
 
+    def equal(self, kind: int) -> np.ndarray:
+        return _key(self.total, self.seg, self.g, kind)
 
-def _sets(b: pa.RecordBatch):
-    """rep, token array, rare mask and hot tokens (rarest first) of each row."""
-    reps = b.column(0).to_pylist()
-    for i, rep in enumerate(reps):
-        tokens = np.asarray(b.column(1)[i].values.to_numpy(zero_copy_only=False), np.int64)
-        hot = b.column(2)[i].values
-        common = np.asarray(hot.field("t").to_numpy(zero_copy_only=False), np.int64) if hot is not None else np.zeros(0, np.int64)
-        yield rep, tokens, (~np.isin(tokens, common) if len(common) else np.ones(len(tokens), bool)), common
+    def without_one(self, kind: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _key(self.total[self.at] - self.h, self.seg[self.at], self.g[self.at], kind)
+
+
+def probes(row: np.ndarray, tokens: np.ndarray, rare: np.ndarray, n: np.ndarray, plan: _Plan):
+    """Signatures that sets look up: (key, set, length group from which it is needed,
+    whether it may be poor). ``row`` is each token's set and ``n`` the size of each set."""
+    low, parts = plan.tables(int(n.max()))
+    g = np.searchsorted(low, n, side="right") - 1
+    c = _Cut(row, tokens, rare, g, parts[g], True)
+    many, r = c.size > 1, c.r
+    # how poor a segment's signature is, for an allowance of 1 and for one more
+    one = np.select([r > 1, r == 1, many, c.size == 1], [0, 1, 3, 4], 6)
+    two = np.select([r > 1, (r == 1) & many, many, r == 1, c.size == 1], [0, 2, 3, 5, 7], 8)
+    rank, seg = np.concatenate([one, two]), np.tile(np.arange(len(one)), 2)
+    unit = np.repeat([0, 1], len(one))
+    order = np.lexsort((unit, seg, -np.tile(r, 2), rank, c.row[seg]))
+    rank, seg, unit = rank[order], seg[order], unit[order]
+    owner = c.row[seg]
+    first = np.searchsorted(owner, np.arange(len(n)))
+    before = np.arange(len(owner)) - first[owner]  # the allowance that is given earlier
+    since = np.full(len(owner), -1)
+    share = (1 - plan.t) / (1 + plan.t)
+    largest = n * plan.t.denominator // plan.t.numerator
+    last = np.searchsorted(low, largest, side="right") - 1
+    highs = np.append(low[1:] - 1, plan.high(len(low) - 1))
+    for p in range(int((last - g).max()) + 1):
+        q = np.minimum(g + p, len(low) - 1)
+        need = (n + np.minimum(highs[q], largest)) * share.numerator // share.denominator + 1
+        since = np.where((since < 0) & (before < need[owner]) & (g + p <= last)[owner], (g + p)[owner], since)
+    given = np.full((2, len(c.row)), -1)
+    given[unit, seg] = since
+    poor = np.zeros((2, len(c.row)), bool)
+    poor[unit, seg] = rank > 1
+    a, b = np.flatnonzero(given[0] >= 0), np.flatnonzero(given[1] >= 0)
+    t = np.flatnonzero(given[1][c.at] >= 0)
+    at = c.at[t]
+    keys = np.concatenate([c.equal(0)[a], c.equal(1)[b], c.without_one(0)[t]])
+    return keys, np.concatenate([c.row[a], c.row[b], c.row[at]]), np.concatenate([given[0][a], given[1][b], given[1][at]]), np.concatenate([poor[0][a], poor[1][b], poor[1][at]])
+
+
+def entries(row: np.ndarray, tokens: np.ndarray, rare: np.ndarray, n: np.ndarray, plan: _Plan, poor: bool):
+    """Signatures under which sets are found by sets no larger than themselves: (key, set).
+    Either the rich ones or, with ``poor``, all others."""
+    low, parts = plan.tables(int(n.max()))
+    top = np.searchsorted(low, n, side="right") - 1
+    least = -(-n * plan.t.numerator // plan.t.denominator)
+    bottom = np.searchsorted(low, np.maximum(1, least), side="right") - 1
+    keys, rows = [], []
+    for d in range(int((top - bottom).max()) + 1):
+        g = np.where(bottom + d <= top, bottom + d, -1)
+        c = _Cut(row, tokens, rare, g, np.where(g >= 0, parts[g], 0), poor)
+        a = np.flatnonzero((c.r == 0) == poor)
+        t = np.flatnonzero((c.r[c.at] - c.rare < 2) == poor)
+        keys += [c.equal(0)[a], c.without_one(1)[t]]
+        rows += [c.row[a], c.row[c.at[t]]]
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _flat(b: pa.RecordBatch):
+    """rep, each token's row, tokens, whether they are rare, set sizes of a batch."""
+    rep = b.column(0).to_numpy()
+    n = b.column(1).value_lengths().to_numpy().astype(np.int64)
+    tokens = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(rep)), n)
+    hot = b.column(2)
+    size = np.nan_to_num(hot.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    common = hot.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    # (set, token) pairs as places in one sorted list, so that they compare exactly
+    places = np.unique(np.concatenate([tokens, common]))
+    code = lambda r, t: r * len(places) + np.searchsorted(places, t)
+    return rep, row, tokens, ~np.isin(code(row, tokens), code(np.repeat(np.arange(len(rep)), size), common)), n
 
 
 def similar_sets(df: DataFrame, id_col: str, set_col: str, num: int, den: int, common: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -203,58 +239,42 @@ def similar_sets(df: DataFrame, id_col: str, set_col: str, num: int, den: int, c
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), s.alias("s")).where(F.size("s") > 0)
     members, sets = classes(rows.withColumn("fp", F.md5(F.array_join(F.col("s").cast("array<string>"), ","))))
     sets = hot_tokens(sets, "s", common)
-    pairs = candidates(sets, plan, common)
+    pairs = candidates(sets, plan)
     return verified(pairs, sets, num, den), members
 
 
-def candidates(sets: DataFrame, plan: _Plan, common: int) -> DataFrame:
+def candidates(sets: DataFrame, plan: _Plan) -> DataFrame:
     """``[a, b]``: every pair of ``sets [rep, s, hot]`` that can be similar, and others."""
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                cols: list[list] = [[], [], [], []]
-                for rep, tokens, rare, _ in _sets(whole.slice(lo, 1024)):
-                    keys, since, _ = probe(tokens, rare, plan)
-                    for c, v in zip(cols, (keys, np.full(len(keys), rep), np.full(len(keys), len(tokens)), since), strict=True):
-                        c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k", "x", "nx", "since"])
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                cols: list[list] = [[], [], [], []]
-                for rep, tokens, rare, _ in _sets(whole.slice(lo, 1024)):
-                    keys, n = index(tokens, rare, plan), len(tokens)
-                    for c, v in zip(cols, (keys, np.full(len(keys), rep), np.full(len(keys), n), np.full(len(keys), plan.group(n))), strict=True):
-                        c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k", "y", "ny", "gy"])
-
-    def wanting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefixes of the sets whose rare tokens don't suffice."""
-        for b in batches:
-            t, x, n = [], [], []
-            for rep, tokens, rare, hot in _sets(b):
-                if probe(tokens, rare, plan)[2] is not None:
-                    prefix = np.concatenate([tokens[rare], hot])[: len(tokens) - plan.overlap(len(tokens)) + 1]
-                    t += prefix.tolist()
-                    x += [rep] * len(prefix)
-                    n += [len(tokens)] * len(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(x, pa.int64()), pa.array(n, pa.int32())], ["t", "x", "nx"])
-
-    src = sets.select("rep", "s", "hot")
-    left = src.mapInArrow(looked_up, "k bigint, x bigint, nx int, since int")
-    right = src.mapInArrow(indexed, "k bigint, y bigint, ny int, gy int")
-    fits = (F.col("x") != F.col("y")) & (F.col("ny") >= F.col("nx")) & (F.col("nx") * plan.t.denominator >= F.col("ny") * plan.t.numerator)
+            for lo in range(0, whole.num_rows, 512):
+                rep, row, tokens, rare, n = _flat(whole.slice(lo, 512))
+                k, x, since, poor = probes(row, tokens, rare, n, plan)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rep[x]), pa.array(n[x].astype(np.int32)), pa.array(since.astype(np.int32)), pa.array(poor)], ["k", "x", "nx", "since", "poor"])
+
+    def indexed(poor: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 512):
+                    rep, row, tokens, rare, n = _flat(whole.slice(lo, 512))
+                    low = plan.tables(int(n.max()))[0]
+                    k, y = entries(row, tokens, rare, n, plan, poor)
+                    g = (np.searchsorted(low, n, side="right") - 1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rep[y]), pa.array(n[y].astype(np.int32)), pa.array(g[y])], ["k", "y", "ny", "gy"])
+
+        return run
+
+    src = spread(sets.select("rep", "s", "hot"))
+    left = cut(src.mapInArrow(looked_up, "k bigint, x bigint, nx int, since int, poor boolean"))
+    fits = (F.col("x") != F.col("y")) & (F.col("ny") >= F.col("nx")) & (F.col("nx") * plan.t.denominator >= F.col("ny") * plan.t.numerator) & (F.col("gy") >= F.col("since"))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    found = left.join(right, "k").where(fits & (F.col("gy") >= F.col("since"))).select(*pair).distinct()
-    rest = cut(src.mapInArrow(wanting, "t bigint, x bigint, nx int"))
-    if not rest.isEmpty():
-        lists = src.select(F.explode("s").alias("t"), F.col("rep").alias("y"), F.size("s").alias("ny"))
-        found = found.unionByName(rest.join(lists, "t").where(fits).select(*pair)).distinct()
-    return found
+    right = "k bigint, y bigint, ny int, gy int"
+    found = left.join(src.mapInArrow(indexed(False), right), "k").where(fits).select(*pair)
+    short = left.where("poor")
+    if not short.isEmpty():
+        found = found.unionByName(short.join(src.mapInArrow(indexed(True), right), "k").where(fits).select(*pair))
+    return found.distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
