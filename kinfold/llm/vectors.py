@@ -1,16 +1,17 @@
 """Numeric vectors: preparation, exact pair cosines and the block matrix join.
 
 The join deals distinct vectors into blocks. Each pair of blocks is one tile, computed in
-one task from int8 codes: the tile product gives every cosine within a known quantisation
-error, and only pairs that can still be among a row's best survive. Survivors are scored
-again from 16-bit codes, each row keeps its best per tile, the rows' lists are merged over
-the tiles, and what is left is recomputed from the original doubles. All bounds are on the
-safe side, so the result is exact.
+one task from int8 codes: the integer products, scaled afterwards, give every cosine within
+a known quantisation error, and only pairs that can still be among a row's best survive.
+The rows' candidates are merged over the tiles by a heap of the k best lower bounds, and
+what can still beat the k-th is recomputed from the original doubles. All bounds are on the
+safe side, so the result is exact. Only int8 codes are sent to the tiles.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-Q16 = 32767.0
-
 
 def dense(col: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column as a matrix, null and NaN as 0, short rows padded with 0; and
@@ -58,11 +57,11 @@ def dimension(df: DataFrame, vec: str) -> int:
 
 
 def distinct_vectors(df: DataFrame, id_col: str, vec: str, k_col: str | None, default_k: int, dims: int) -> tuple[DataFrame, DataFrame]:
-    """``entities [id, rep, k]`` and ``vectors [rep, k, q, unit]``.
+    """``entities [id, rep, k]`` and ``vectors [rep, k, unit]``.
 
     Entities whose vectors are equal share one row of ``vectors``, whose ``rep`` is the
-    smallest of their ids and whose ``k`` is the largest of theirs; ``q`` is the unit
-    vector in 16-bit codes (little-endian, after a float64 scale), ``unit`` in doubles.
+    smallest of their ids and whose ``k`` is the largest of theirs; ``unit`` is the unit
+    vector in doubles.
     """
     k = F.lit(default_k) if k_col is None else F.coalesce(F.col(k_col).cast("int"), F.lit(default_k))
     src = df.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), k.alias("k"), F.col(vec).alias("v"))
@@ -88,11 +87,11 @@ def distinct_vectors(df: DataFrame, id_col: str, vec: str, k_col: str | None, de
     return cut(entities), cut(vectors)
 
 
-def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows as int8 codes times a scale, and the norm of what that loses."""
-    scale = np.abs(unit).max(axis=1, keepdims=True) / 127.0
+def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows as int8 codes, their scale, and the norm of what the codes lose."""
+    scale = np.abs(unit).max(axis=1, keepdims=True, initial=1e-300) / 127.0
     code = np.rint(unit / scale)
-    return (code * scale).astype(np.float32), np.sqrt(((unit - code * scale) ** 2).sum(axis=1)) + 1e-6
+    return code.astype(np.int8), scale[:, 0], np.sqrt(((unit - code * scale) ** 2).sum(axis=1)) + 1e-7
 
 
 def exact_cosines(pairs: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
@@ -108,49 +107,78 @@ def exact_cosines(pairs: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
     return pairs.join(va, "a").join(vb, "b").select("a", "b", "ua", "ub").mapInArrow(run, "a bigint, b bigint, sim double")
 
 
-def _best(src: np.ndarray, score: np.ndarray, k: np.ndarray, slack: float) -> np.ndarray:
-    """Positions of each source's k best scores and of those within ``slack`` of the k-th."""
-    order = np.lexsort((-score, src))
-    s, v = src[order], score[order]
-    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
+def _best(src: np.ndarray, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Positions that can be among their source's k best: whose upper bound reaches the
+    k-th largest lower bound. ``k`` by position."""
+    if not len(src):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((-low, src))
+    s = src[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     length = np.diff(np.concatenate([start, [len(s)]]))
-    kk = np.minimum(np.maximum(k[order][start], 1), length) if len(s) else length
-    limit = np.repeat(v[start + kk - 1], length) - slack if len(s) else v
-    return order[v >= limit]
-
-
-def _tile(left: np.ndarray, lk: np.ndarray, right: np.ndarray, rk: np.ndarray, floor: float, same: bool) -> tuple[np.ndarray, ...]:
-    """Survivors (row, column, score, direction) of one tile of unit vectors in 16-bit
-    precision; ``same``: both sides are one block."""
-    lq, le = quantised(left)
-    rq, re = quantised(right)
-    rmax = float(re.max())
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    kmax = int(max(lk.max(), rk.max(), 1))
-    for lo in range(0, len(lq), 512):
-        g = lq[lo : lo + 512] @ rq.T
-        err = le[lo : lo + 512] + rmax + 1e-3 * rmax
+    kth = low[order][start + np.minimum(np.maximum(k[order][start], 1), length) - 1]
+    return order[high[order] >= np.repeat(kth, length)]
+
+
+def _tile(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], floor: float, same: bool) -> tuple[np.ndarray, ...]:
+    """Survivors (row, column, lower and upper bound of the cosine) of one tile; a side is
+    (codes, scale, loss, k); ``same``: both sides are one block. The product of int8 codes is
+    computed in float32, which holds its integers exactly up to 1,000 dimensions."""
+    (lq, ls, le, lk), (rq, rs, re, rk) = left, right
+    kind = np.float32 if lq.shape[1] <= 1000 else np.float64
+    lf, rf = lq.astype(kind), rq.astype(kind)
+    rmax, kmax = float(re.max()), int(max(lk.max(), rk.max(), 1))
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(lf), 512):
+        at = slice(lo, lo + 512)
+        g = (lf[at] @ rf.T) * ls[at, None].astype(kind) * rs[None, :].astype(kind)
+        err = le[at] + rmax * (1 + le[at]) + 1e-5
         limit = floor - err
         if same:
             g[np.arange(len(g)), lo + np.arange(len(g))] = -2
-        hits = g >= limit[:, None].astype(np.float32)
+        hits = g >= limit[:, None]
         if np.count_nonzero(hits) > 64 * kmax * len(g) and g.shape[1] > kmax:
             # a dense region: a pair must be among the best of its row or of its column
             row = np.maximum(np.partition(g, -kmax, axis=1)[:, -kmax] - 2 * err, limit)
             col = np.partition(g, -min(kmax, len(g)), axis=0)[-min(kmax, len(g))] - 2 * float(err.max())
             hits &= (g >= row[:, None]) | (g >= np.maximum(col, limit.min())[None, :])
         i, j = np.nonzero(hits)
-        for at in range(0, len(i), 50_000):
-            a, b = i[at : at + 50_000] + lo, j[at : at + 50_000]
-            found.append((a, b, np.einsum("ij,ij->i", left[a], right[b])))
-    if not found:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0)
-    a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    return a, b, s
-
-
-def knn_join(entities: DataFrame, vectors: DataFrame, dims: int, floor: float, block: int | None = None) -> DataFrame:
+        s, e = g[i, j].astype(float), le[lo + i] + re[j] * (1 + le[lo + i]) + 1e-5
+        ok = s + e >= floor
+        found.append((i[ok] + lo, j[ok], (s - e)[ok], (s + e)[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (a, b, low, high, k) sorted by a: the pairs whose upper bound reaches the
+    smallest of a's heap of k largest lower bounds. A run holds a few candidates per tile."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        a, b, low, high, k = (t.column(i).to_numpy() for i in range(5))
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        ends = np.append(start[1:], len(a))
+        kth = np.full(len(a), -2.0)
+        for lo, hi in zip(start[ends - start > k[start]], ends[ends - start > k[start]], strict=True):
+            kth[lo:hi] = heapq.nlargest(max(int(k[lo]), 1), low[lo:hi].tolist())[-1]
+        ok = high >= kth
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+
+    for x in batches:
+        if not x.num_rows:
+            continue
+        held.append(x)
+        t = pa.Table.from_batches(held)
+        keys = t.column(0).to_numpy()
+        whole = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+        if whole:
+            yield flush(t.slice(0, whole))
+            held = t.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield flush(pa.Table.from_batches(held))
+
+
+def knn_join(vectors: DataFrame, dims: int, floor: float, block: int | None = None) -> DataFrame:
     """``[a, b, sim]``, a <> b, both directions: for each distinct vector at least its k
     most similar other distinct vectors with a cosine of ``floor`` or more."""
     spark = vectors.sparkSession
@@ -158,44 +186,41 @@ def knn_join(entities: DataFrame, vectors: DataFrame, dims: int, floor: float, b
     if block is None:
         block = int(min(16384, max(512, math.ceil(n / (2 * spark.sparkContext.defaultParallelism)))))
     blocks = max(1, math.ceil(n / block))
-    slack = 4 * math.sqrt(dims) / Q16
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = np.rint(packed(b.column(2), "<f8", dims) * Q16).astype("<i2")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), binaries(q)], ["rep", "k", "q"])
+            q, scale, loss = quantised(packed(b.column(2), "<f8", dims))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), binaries(q), pa.array(scale), pa.array(loss)], ["rep", "k", "q", "scale", "loss"])
 
-    coded = vectors.select("rep", "k", "unit").mapInArrow(codes, "rep bigint, k int, q binary")
+    coded = vectors.select("rep", "k", "unit").mapInArrow(codes, "rep bigint, k int, q binary, scale double, loss double")
     blk = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    sent = coded.withColumn("blk", blk).select("rep", "k", "q", "blk", other).select("rep", "k", "q", "blk", F.least("blk", "o").alias("ti"), F.greatest("blk", "o").alias("tj"))
+    cols = ["rep", "k", "q", "scale", "loss", "blk"]
+    sent = coded.withColumn("blk", blk).select(*cols, other).select(*cols, F.least("blk", "o").alias("ti"), F.greatest("blk", "o").alias("tj"))
     tiles = blocks * (blocks + 1) // 2
 
     def tile(t: pa.Table) -> pa.Table:
         ti, tj = t.column("ti")[0].as_py(), t.column("tj")[0].as_py()
         side = t.column("blk").to_numpy()
-        rep, k = t.column("rep").to_numpy(), t.column("k").to_numpy()
-        m = packed(t.column("q"), "<i2", dims).astype(np.float32) / np.float32(Q16)
+        rep, k, scale, loss = (t.column(c).to_numpy() for c in ("rep", "k", "scale", "loss"))
+        m = packed(t.column("q"), "i1", dims)
         x, y = np.flatnonzero(side == ti), np.flatnonzero(side == tj)
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "k": pa.array([], pa.int32())})
         if not len(x) or not len(y):
-            return none
-        a, b, s = _tile(m[x], k[x], m[y], k[y], floor - slack, ti == tj)
-        ok = s >= floor - slack
-        a, b, s = x[a[ok]], y[b[ok]], s[ok].astype(float)
-        fwd = _best(a, s, k[a], slack)
-        out = [(a[fwd], b[fwd], s[fwd])]
+            none = pa.array([], pa.int64())
+            return pa.table({"a": none, "b": none, "low": none.cast(pa.float64()), "high": none.cast(pa.float64()), "k": none.cast(pa.int32())})
+        i, j, low, high = _tile((m[x], scale[x], loss[x], k[x]), (m[y], scale[y], loss[y], k[y]), floor, ti == tj)
+        i, j = x[i], y[j]
+        fwd = _best(i, low, high, k[i])
+        out = [(i[fwd], j[fwd], low[fwd], high[fwd])]
         if ti != tj:
-            rev = _best(b, s, k[b], slack)
-            out.append((b[rev], a[rev], s[rev]))
-        a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"a": rep[a], "b": rep[b], "s": s, "k": k[a].astype(np.int32)})
+            rev = _best(j, low, high, k[j])
+            out.append((j[rev], i[rev], low[rev], high[rev]))
+        i, j, low, high = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"a": rep[i], "b": rep[j], "low": low, "high": high, "k": k[i].astype(np.int32)})
 
     # a tile is a bounded group: two blocks
-    near = sent.repartition(min(tiles, 20_000), "ti", "tj").groupBy("ti", "tj").applyInArrow(tile, "a bigint, b bigint, s double, k int")
-    by = Window.partitionBy("a")
-    ranked = near.withColumn("rn", F.row_number().over(by.orderBy(F.desc("s"), "b"))).withColumn("kth", F.max(F.when(F.col("rn") == F.col("k"), F.col("s"))).over(by))
-    best = ranked.where(F.col("kth").isNull() | (F.col("s") >= F.col("kth") - slack)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = sent.repartition(min(tiles, 20_000), "ti", "tj").groupBy("ti", "tj").applyInArrow(tile, "a bigint, b bigint, low double, high double, k int")
+    best = near.repartition("a").sortWithinPartitions("a").mapInArrow(_merged, "a bigint, b bigint").distinct()
     sims = cut(exact_cosines(best, vectors, dims).where(F.col("sim") >= floor))
     return sims.select(F.explode(F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))).alias("e")).select("e.*")
 
@@ -218,7 +243,7 @@ def nearest(df: DataFrame, id_col: str, vec: str, k_col: str | None = None, defa
     if not dims:
         return spark.createDataFrame([], "entity bigint, neighbour bigint, sim double, rk int")
     entities, vectors = distinct_vectors(df, id_col, vec, k_col, default_k, dims)
-    sims = knn_join(entities, vectors, dims, floor, block)
+    sims = knn_join(vectors, dims, floor, block)
     kmax = vectors.select("rep", F.col("k").alias("km"))
     most = int(entities.agg(F.max("k")).first()[0] or 0)
     if most < 1:
