@@ -5,14 +5,17 @@
    best k survive, until hardly anything changes.
 2. Communities. On the links above the threshold, vertices move to the neighbouring
    community with the largest modularity gain; communities are contracted and moved again.
-3. Exact check. The pairs inside a community are recomputed from the doubles; a community
+3. Exact check. The cosines inside a community are recomputed from the doubles; a community
    in which not all members are similar is divided into cliques, members with the highest
-   internal weighted degree first.
+   internal weighted degree first. That takes one task for a community of up to 512 members;
+   of a larger one, tiles of pairs are computed apart and cliques are taken off in rounds.
 4. Union. Cliques that share a link, or whose centres are neighbours, are compared exactly
    and united where all their members are similar, until nothing can be united.
 
 Equal vectors are one vertex throughout, so copies cost nothing until the result is spelled
-out. Every step works on keyed runs of bounded length; no community is collected.
+out. Every step works on keyed runs of bounded length; no large community is collected.
+Typical members are found without pairs: a member's internal weighted degree is the product
+of its unit vector and the sum of all of its cluster's.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, parallelism
+from ..runtime import cut, mark, parallelism, spread
 from .components import components, union_all
 from .vectors import binaries, dimension, distinct_vectors, packed
 
@@ -98,9 +101,10 @@ def _keep(pairs: DataFrame, k: int) -> DataFrame:
     return best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= k).drop("r")
 
 
-def neighbour_graph(vectors: DataFrame, dims: int, k: int = 16, floor: float = 0.6, tables: int = 24, rounds: int = 3, seed: int = 7) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, dims: int, k: int = 16, floor: float = 0.6, tables: int = 24, rounds: int = 12, settled: float = 0.005, seed: int = 7) -> DataFrame:
     """``[a, b, s]``: approximately the k most similar vertices of each vertex (cosine of
-    int8 codes, at least ``floor``), from ``vectors [rep, unit]``, by neighbour descent."""
+    int8 codes, at least ``floor``), from ``vectors [rep, unit]``, by neighbour descent: it
+    ends when a round renews at most the share ``settled`` of the links."""
     spark = vectors.sparkSession
     n = vectors.count()
     hashes = max(1, math.ceil(math.log(max(n, 2) / 16) / math.log(2 * dims))) if n > 16 else 1
@@ -111,7 +115,7 @@ def neighbour_graph(vectors: DataFrame, dims: int, k: int = 16, floor: float = 0
             q = np.rint(u / np.abs(u).max(axis=1, keepdims=True, initial=1e-300) * 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([b.column(0), binaries(q)], ["rep", "q"])
 
-    coded = cut(vectors.select("rep", "unit").mapInArrow(codes, "rep bigint, q binary"))
+    coded = cut(spread(vectors.select("rep", "unit")).mapInArrow(codes, "rep bigint, q binary"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -135,7 +139,7 @@ def neighbour_graph(vectors: DataFrame, dims: int, k: int = 16, floor: float = 0
     def within(keyed: DataFrame) -> DataFrame:
         return keyed.repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "rep")).mapInArrow(lambda it: _runs(it, compare, ["a", "b", "s"]), pair)
 
-    graph = cut(_keep(within(coded.mapInArrow(seeds, "key bigint, rep bigint, q binary")).withColumn("new", F.lit(1)), k))
+    graph = cut(_keep(within(spread(coded).mapInArrow(seeds, "key bigint, rep bigint, q binary")).withColumn("new", F.lit(1)), k))
     for _ in range(rounds):
         back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new")
         around = _keep(graph.unionByName(back), 2 * k)
@@ -145,7 +149,7 @@ def neighbour_graph(vectors: DataFrame, dims: int, k: int = 16, floor: float = 0
         # a pair that was known keeps new = 0, so that it starts no further introduction
         graph = cut(_keep(union_all([graph.withColumn("new", F.lit(0)), back.withColumn("new", F.lit(0)), met]), k))
         changed = graph.agg(F.sum("new"), F.count(F.lit(1))).first()
-        if (changed[0] or 0) <= 0.001 * (changed[1] or 1):
+        if (changed[0] or 0) <= settled * (changed[1] or 1):
             break
     return graph.select("a", "b", "s")
 
@@ -162,7 +166,7 @@ def communities(edges: DataFrame, moves: int = 8) -> DataFrame:
     member = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("community", F.col("id"))
     total = None
     for level in itertools.count():
-        both = cut(work.where("a <> b").select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("e")).select("e.*"))
+        both = mark(work.where("a <> b").select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("e")).select("e.*"))
         if both.isEmpty():  # every community is cut off from the others
             break
         degree = both.groupBy("a").agg(F.sum("w").alias("d"))
@@ -171,16 +175,16 @@ def communities(edges: DataFrame, moves: int = 8) -> DataFrame:
             degree = degree.join(loops, "a", "left").select("a", (F.col("d") + F.coalesce("l", F.lit(0.0))).alias("d"))
         else:
             total = both.agg(F.sum("w")).first()[0]
-        label = cut(degree.select("a", "d", F.col("a").alias("c"), F.lit(False).alias("m")))
+        label = mark(degree.select("a", "d", F.col("a").alias("c"), F.lit(False).alias("m")))
         for _ in range(moves):
-            label = cut(_move(both, label, total))
+            label = mark(_move(both, label, total))
             if label.where("m").isEmpty():
                 break
         sizes = label.agg(F.count(F.lit(1)), F.countDistinct("c")).first()
         if sizes[0] == sizes[1]:  # nothing came together
             break
         step = label.select(F.col("a").alias("community"), F.col("c").alias("next"))
-        member = cut(member.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community")))
+        member = mark(member.join(step, "community", "left").select("id", F.coalesce("next", "community").alias("community")))
         la, lb = label.select("a", F.col("c").alias("ca")), label.select(F.col("a").alias("b"), F.col("c").alias("cb"))
         inner = both.where("a < b").join(la, "a").join(lb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
         kept = work.where("a = b").join(la, "a").select(F.col("ca").alias("a"), F.col("ca").alias("b"), "w") if level else None
@@ -195,12 +199,13 @@ def _move(both: DataFrame, label: DataFrame, total: float) -> DataFrame:
     to = state.select(F.col("a").alias("b"), F.col("c").alias("bc"), F.col("t").alias("bt"), F.col("n").alias("bn"))
     pull = both.join(to, "b").groupBy("a", "bc").agg(F.sum("w").alias("in"), F.first("bt").alias("bt"), F.first("bn").alias("bn"))
     own = F.col("bc") == F.col("c")
-    gain = F.round(F.col("in") - F.col("d") * (F.col("bt") - F.when(own, F.col("d")).otherwise(0.0)) / total, 3)
+    # weights are whole numbers, so sums and gains are the same in whatever order
+    gain = F.col("in") - F.col("d") * (F.col("bt") - F.when(own, F.col("d")).otherwise(0.0)) / total
     stay = F.coalesce(F.max(F.when(own, F.col("g"))), F.lit(0.0))
     allowed = ~own & ((F.col("n") > 1) | (F.col("bn") > 1) | (F.col("bc") < F.col("c")))
     best = F.max(F.when(allowed, F.struct(F.col("g"), (-F.col("bc")).alias("neg"))))
     choice = pull.join(state, "a").withColumn("g", gain).groupBy("a", "d", "c").agg(stay.alias("stay"), best.alias("best"))
-    moved = F.coalesce((F.col("best.g") > F.col("stay") + 1e-9) & (F.col("best.g") > 0), F.lit(False))
+    moved = F.coalesce((F.col("best.g") > F.col("stay")) & (F.col("best.g") > 0), F.lit(False))
     return choice.select("a", "d", F.when(moved, -F.col("best.neg")).otherwise(F.col("c")).alias("c"), moved.alias("m"))
 
 
@@ -268,8 +273,8 @@ def _cliques(members: DataFrame, inner: DataFrame) -> DataFrame:
     size = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("cluster"))
     links = inner.groupBy("c").agg(F.count(F.lit(1)).alias("e"))
     whole = size.join(links, "c", "left").withColumn("clean", F.coalesce("e", F.lit(0)) * 2 == F.col("n") * (F.col("n") - 1))
-    done = [cut(members.join(whole.where("clean").select("c", "cluster"), "c").select("cluster", "rep"))]
-    rest = cut(members.join(whole.where("not clean").select("c"), "c").select("c", "rep"))
+    done = [mark(members.join(whole.where("clean").select("c", "cluster"), "c").select("cluster", "rep"))]
+    rest = mark(members.join(whole.where("not clean").select("c"), "c").select("c", "rep"))
     while not rest.isEmpty():
         live = rest.select("rep")
         edges = inner.join(live.withColumnRenamed("rep", "a"), "a").join(live.withColumnRenamed("rep", "b"), "b")
@@ -277,51 +282,121 @@ def _cliques(members: DataFrame, inner: DataFrame) -> DataFrame:
         weight = both.groupBy("a").agg(F.sum("sim").alias("w"))
         ranked = rest.join(weight, rest["rep"] == weight["a"], "left").select("c", "rep", F.coalesce("w", F.lit(0.0)).alias("w"))
         by = Window.partitionBy("c").orderBy(F.desc("w"), "rep")
-        ranked = cut(ranked.select("c", "rep", F.row_number().over(by).alias("r")))
+        ranked = mark(ranked.select("c", "rep", F.row_number().over(by).alias("r")))
         ra, rb = ranked.select(F.col("rep").alias("a"), F.col("r").alias("x")), ranked.select(F.col("rep").alias("b"), F.col("r").alias("y"))
         above = both.join(ra, "a").join(rb, "b").where("y < x").groupBy("a").agg(F.count(F.lit(1)).alias("h"))
-        judged = cut(ranked.join(above, ranked["rep"] == above["a"], "left").select("c", "rep", "r", (F.coalesce("h", F.lit(0)) == F.col("r") - 1).alias("ok")))
+        judged = mark(ranked.join(above, ranked["rep"] == above["a"], "left").select("c", "rep", "r", (F.coalesce("h", F.lit(0)) == F.col("r") - 1).alias("ok")))
         lead = judged.where("r = 1").select("c", F.col("rep").alias("cluster"))
         done.append(judged.where("ok").join(lead, "c").select("cluster", "rep"))
-        rest = cut(judged.where("not ok").select("c", "rep"))
+        rest = mark(judged.where("not ok").select("c", "rep"))
     return union_all(done)
 
 
-def _centres(groups: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """``[rep, unit]``: each cluster and the mean of its members' unit vectors."""
+def _divided(members: DataFrame, vectors: DataFrame, dims: int, least: float) -> DataFrame:
+    """``[to, g]``: the atoms g of each community united into cliques, named by one of them.
+
+    ``members [c, g, rep]``: community, atom (a clique already) and vector. Two atoms are
+    linked when all of their members are similar, by the sum of their cosines; cliques are
+    taken off as ``_cliques`` does.
+    """
+    members = cut(members)
+    size = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    few, many = size.where(F.col("n") <= _RUN).select("c"), size.where(F.col("n") > _RUN).select("c")
+    keyed = members.join(few, "c").join(vectors.select("rep", "unit"), "rep").select("c", "g", "unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(t: pa.Table) -> pa.RecordBatch:
+            c, g = t.column(0).to_numpy(), t.column(1).to_numpy()
+            u = packed(t.column(2), "<f8", dims)
+            edges = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
+            out = [_taken(g[lo:hi], u[lo:hi], least) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["to", "g"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            keys = t.column(0).to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last community may go on
+            if whole:
+                yield flush(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    small = keyed.repartition(parallelism(members.sparkSession), "c").sortWithinPartitions("c").mapInArrow(run, "to bigint, g bigint")
+    if many.isEmpty():
+        return cut(small)
+    large = cut(members.join(many, "c"))
+    pairs = _inner_pairs(large.select("c", "rep"), vectors, dims, least)
+    ga, gb = large.select(F.col("rep").alias("a"), F.col("g").alias("ga")), large.select(F.col("rep").alias("b"), F.col("g").alias("gb"))
+    between = pairs.join(ga, "a").join(gb, "b").where("ga <> gb").groupBy("c", F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.count(F.lit(1)).alias("e"), F.sum("sim").alias("sim"))
+    n = large.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    na, nb = n.select(F.col("g").alias("a"), F.col("n").alias("na")), n.select(F.col("g").alias("b"), F.col("n").alias("nb"))
+    linked = cut(between.join(na, "a").join(nb, "b").where("e = na * nb").select("c", "a", "b", "sim"))
+    taken = _cliques(large.select("c", F.col("g").alias("rep")).distinct(), linked)
+    return cut(small.unionByName(taken.select(F.col("cluster").alias("to"), F.col("rep").alias("g"))))
+
+
+def _taken(g: np.ndarray, u: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """One community of ``_divided``: (clique, atom) of each atom."""
+    atoms, at = np.unique(g, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(len(atoms)))
+    s = np.round(u[order] @ u[order].T, 9)
+    block = lambda m, f: f.reduceat(f.reduceat(m, first, axis=0), first, axis=1)
+    linked = block(s, np.minimum) >= least
+    weight = np.where(linked, block(s, np.add), 0.0)
+    to, live = np.zeros(len(atoms), np.int64), np.arange(len(atoms))
+    while len(live):
+        inner = weight[np.ix_(live, live)]
+        rank = live[np.lexsort((atoms[live], -np.round(inner.sum(axis=1) - np.diag(inner), 6)))]
+        m = linked[np.ix_(rank, rank)] | np.tri(len(rank), dtype=bool).T
+        ok = m.all(axis=1)
+        to[rank[ok]] = atoms[rank[0]]
+        live = rank[~ok]
+    return to, atoms
+
+
+def _centres(groups: DataFrame, vectors: DataFrame, dims: int, whole: bool = False) -> DataFrame:
+    """``[rep, unit]``: each cluster and the mean of its members' unit vectors, or with
+    ``whole`` their sum, each as often as ``m`` of ``groups [cluster, rep, m]`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total, n = None, np.zeros(dims), 0
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, u = b.column(0).to_numpy(), packed(b.column(1), "<f8", dims)
+            keys, u, m = b.column(0).to_numpy(), packed(b.column(1), "<f8", dims), b.column(2).to_numpy()
+            u = u * m[:, None]
             edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             ids, means = [], []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if keys[lo] != key:
                     if n:
                         ids.append(key)
-                        means.append(total / n)
+                        means.append(total / (1 if whole else n))
                     key, total, n = keys[lo], np.zeros(dims), 0
-                total, n = total + u[lo:hi].sum(axis=0), n + hi - lo
+                total, n = total + u[lo:hi].sum(axis=0), n + int(m[lo:hi].sum())
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), binaries(np.array(means, "<f8"))], ["rep", "unit"])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), binaries((total / n)[None, :].astype("<f8"))], ["rep", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), binaries((total / (1 if whole else n))[None, :].astype("<f8"))], ["rep", "unit"])
 
-    keyed = groups.join(vectors, "rep").select("cluster", "unit").repartition(parallelism(groups.sparkSession), "cluster").sortWithinPartitions("cluster")
+    keyed = groups.join(vectors, "rep").select("cluster", "unit", F.col("m").cast("bigint").alias("m")).repartition(parallelism(groups.sparkSession), "cluster").sortWithinPartitions("cluster")
     return keyed.mapInArrow(run, "rep bigint, unit binary")
 
 
-def _united(groups: DataFrame, links: DataFrame, vectors: DataFrame, dims: int, least: float, graph_k: int) -> tuple[DataFrame, bool]:
-    """``groups [cluster, rep]`` with cliques united that are one clique together, and
-    whether there were any.
+def _united(groups: DataFrame, links: DataFrame, vectors: DataFrame, dims: int, least: float, graph_k: int) -> DataFrame:
+    """``groups [cluster, rep]`` with cliques united that are one clique together.
 
     Candidates are cliques that share a link and cliques with neighbouring centres; the
     product of two centres is the mean of all cosines across, which must reach ``least``.
-    The pairs of all cliques that hang together by candidates are then computed exactly.
-    Every round unites some cliques, or is the last.
+    All cliques that hang together by candidates are then compared exactly. Every round
+    unites some cliques, or is the last.
     """
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,29 +405,21 @@ def _united(groups: DataFrame, links: DataFrame, vectors: DataFrame, dims: int,
             ok = (x * y).sum(axis=1) >= least - 1e-8
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(2)], ["a", "b"])
 
-    changed = False
     while True:
-        centres = cut(_centres(groups, vectors, dims))
+        centres = cut(_centres(groups.withColumn("m", F.lit(1)), vectors, dims))
         near = neighbour_graph(centres, dims, k=graph_k, floor=max(0.0, least - 0.03)).select("a", "b")
         ga, gb = groups.select(F.col("rep").alias("a"), F.col("cluster").alias("ca")), groups.select(F.col("rep").alias("b"), F.col("cluster").alias("cb"))
         across = links.join(ga, "a").join(gb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         asked = across.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         asked = asked.join(centres.select(F.col("rep").alias("a"), F.col("unit").alias("x")), "a").join(centres.select(F.col("rep").alias("b"), F.col("unit").alias("y")), "b")
-        parts = cut(components(cut(asked.select("a", "b", "x", "y").mapInArrow(close, "a bigint, b bigint")), "a", "b").select(F.col("group_id").alias("c"), F.col("record_id").alias("rep")))
-        if parts.isEmpty():
-            break
-        live = cut(groups.join(parts.select("c", F.col("rep").alias("cluster")), "cluster").select("c", "cluster", "rep"))
-        pairs = _inner_pairs(live.select("c", "rep"), vectors, dims, least)
-        size = live.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        between = pairs.join(ga, "a").join(gb, "b").where("ca <> cb").groupBy("c", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count(F.lit(1)).alias("e"), F.sum("sim").alias("sim"))
-        na, nb = size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), size.select(F.col("cluster").alias("b"), F.col("n").alias("nb"))
-        whole = cut(between.join(na, "a").join(nb, "b").where("e = na * nb").select("c", "a", "b", "sim"))
-        if whole.isEmpty():
-            break
-        to = _cliques(parts, whole).select(F.col("cluster").alias("to"), F.col("rep").alias("cluster"))
-        groups = cut(groups.join(to, "cluster", "left").select(F.coalesce("to", "cluster").alias("cluster"), "rep"))
-        changed = True
-    return groups, changed
+        asked = cut(asked.select("a", "b", "x", "y").mapInArrow(close, "a bigint, b bigint"))
+        if asked.isEmpty():
+            return groups
+        parts = components(asked, "a", "b").select(F.col("group_id").alias("c"), F.col("record_id").alias("cluster"))
+        to = _divided(groups.join(parts, "cluster").select("c", F.col("cluster").alias("g"), "rep"), vectors, dims, least)
+        if to.where("to <> g").isEmpty():
+            return groups
+        groups = cut(groups.join(to.withColumnRenamed("g", "cluster"), "cluster", "left").select(F.coalesce("to", "cluster").alias("cluster"), "rep"))
 
 
 def clusters(df: DataFrame, id_col: str, vec: str, least: float = 0.85, typical: int = 3, graph_k: int = 16) -> tuple[DataFrame, DataFrame]:
@@ -376,21 +443,22 @@ def clusters(df: DataFrame, id_col: str, vec: str, least: float = 0.85, typical:
     links = graph.where(F.col("s") >= least - 0.03).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut(links)
     found = cut(communities(links).select(F.col("id").alias("rep"), F.col("community").alias("c")))
-    inner = cut(_inner_pairs(found, vectors, dims, least))
-    groups = _cliques(found, inner)
+    groups = _divided(found.select("c", F.col("rep").alias("g"), "rep"), vectors, dims, least).select(F.col("to").alias("cluster"), F.col("g").alias("rep"))
     alone = vectors.select("rep").join(groups.select("rep"), "rep", "left_anti").select(F.col("rep").alias("cluster"), "rep")
-    groups, changed = _united(cut(groups.unionByName(alone)), links, vectors, dims, least, graph_k)
-    if changed:
-        inner = cut(_inner_pairs(groups.select(F.col("cluster").alias("c"), "rep"), vectors, dims, least))
+    groups = _united(cut(groups.unionByName(alone)), links, vectors, dims, least, graph_k)
     first = groups.groupBy("cluster").agg(F.min("rep").alias("low"))
-    groups = groups.join(first, "cluster").select(F.col("low").alias("cluster"), "rep")
+    groups = cut(groups.join(first, "cluster").select(F.col("low").alias("cluster"), "rep"))
     members = cut(groups.join(entities.select("id", "rep"), "rep").select("cluster", F.col("id").alias("entity"), "rep"))
     copies = entities.groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
-    ga, gb = groups.select(F.col("rep").alias("a"), F.col("cluster").alias("ca")), groups.select(F.col("rep").alias("b"), F.col("cluster").alias("cb"))
-    ma, mb = copies.select(F.col("rep").alias("a"), F.col("m").alias("na")), copies.select(F.col("rep").alias("b"), F.col("m").alias("nb"))
-    held = inner.join(ga, "a").join(gb, "b").where("ca = cb").join(ma, "a").join(mb, "b")
-    degree = held.select(F.col("a").alias("rep"), (F.col("sim") * F.col("nb")).alias("w")).unionByName(held.select(F.col("b").alias("rep"), (F.col("sim") * F.col("na")).alias("w")))
-    degree = degree.groupBy("rep").agg(F.sum("w").alias("w")).join(copies, "rep", "right").select("rep", (F.coalesce("w", F.lit(0.0)) + F.col("m") - 1).alias("w"))
+
+    def degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # the sum holds the member itself once
+            w = (packed(b.column(1), "<f8", dims) * packed(b.column(2), "<f8", dims)).sum(axis=1) - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(w, 6))], ["rep", "w"])
+
+    total = _centres(groups.join(copies, "rep"), vectors, dims, whole=True).select(F.col("rep").alias("cluster"), F.col("unit").alias("sum"))
+    degree = groups.join(total, "cluster").join(vectors.select("rep", "unit"), "rep").select("rep", "unit", "sum").mapInArrow(degrees, "rep bigint, w double")
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     order = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("w"), "entity"))
     best = members.join(degree, "rep").withColumn("r", order).where(F.col("r") <= typical)
