@@ -1,20 +1,19 @@
 """Near-duplicate sequences by bottom-k sketches.
 
 One hash function orders the k-mers of every sequence; its k smallest hash values are its
-sketch. Inverted lists of the retained values give each pair's overlap, the sketch of the
-union (the k smallest of both) estimates the Jaccard similarity, and pairs whose estimate
-cannot belong to a similar pair are dropped. What is left is verified on all k-mers.
-
-Values in very many sketches (adapters, boilerplate) are left out of the lists, and the
-next retained values take their place. A similar pair shares about the threshold's share of
-each side's values at least; a sequence of which half that share is very common, as in a
-large group of near-duplicates, is looked up by all of its values against the full lists.
+sketch, k being as large as the threshold needs for the lists to be complete (half of a
+sequence's values and a few, at a similarity of one half). Inverted lists of the retained
+values give each pair's overlap; what the union of two sketches says about the overlap of
+the sets drops pairs that cannot be similar; what is left is verified on all k-mers.
+
+Values in very many sketches (adapters, boilerplate) come last in the order, so that they
+are retained only by sequences that consist of them largely. Lists that are long all the
+same are cut into pieces for joining.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from .setjoin import classes, mix
 
 
@@ -67,7 +66,20 @@ def canonical_kmers(texts: list[str | None], k: int) -> tuple[np.ndarray, np.nda
     return who[first], code[first]
 
 
-def _prepare(df: DataFrame, id_col: str, seq_col: str, k: int, size: int) -> DataFrame:
+def _order(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Hash values in the order of all sketches: those of very common values last."""
+    late = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
+    return h[np.lexsort((h, late))]
+
+
+def retained(n: int, num: int, den: int, meet: int, size: int | None) -> int:
+    """How many of a set's n values its sketch keeps: two sets of a similarity of at least
+    num/den share ``meet`` of the kept values (or all that they must share, if fewer)."""
+    least = -(-n * num // den)
+    return min(n, n - least + min(meet, least), *([size] if size else []))
+
+
+def _prepare(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
     src = df.where(F.col(id_col).isNotNull() & F.col(seq_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(seq_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,20 +87,34 @@ def _prepare(df: DataFrame, id_col: str, seq_col: str, k: int, size: int) -> Dat
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 who, code = canonical_kmers(b.column(1).to_pylist(), k)
-                h = (mix(code) >> np.uint64(1)).astype(np.int64)
                 ends = np.searchsorted(who, np.arange(b.num_rows + 1))
-                fp, sketch, n = [], [], np.diff(ends)
-                for i in range(b.num_rows):
-                    part = slice(ends[i], ends[i + 1])
-                    fp.append(hashlib.blake2b(code[part].tobytes(), digest_size=16).digest())
-                    sketch.append(np.sort(h[part])[:size] if n[i] <= 4 * size else np.sort(np.partition(h[part], size)[:size]))
+                n = np.diff(ends)
+                fp = [hashlib.blake2b(code[ends[i] : ends[i + 1]].tobytes(), digest_size=16).digest() for i in range(b.num_rows)]
                 some = pa.array(n > 0)
-                width = np.concatenate([[0], np.cumsum([len(x) for x in sketch])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(width), pa.array(np.concatenate(sketch)))
-                cols = [b.column(0), pa.array(fp, pa.binary()), pa.array(n.astype(np.int32)), lists, b.column(1)]
-                yield pa.RecordBatch.from_arrays([c.filter(some) for c in cols], ["id", "fp", "n", "sk", "t"])
+                yield pa.RecordBatch.from_arrays([c.filter(some) for c in (b.column(0), pa.array(fp, pa.binary()), b.column(1))], ["id", "fp", "t"])
+
+    return src.mapInArrow(run, "id bigint, fp binary, t string")
+
+
+def _sketches(sets: DataFrame, k: int, keep, hot: bool) -> DataFrame:
+    """``[rep, n, v]``: the retained values of each set, from ``sets [rep, t(, hot)]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                reps = b.column(0).to_numpy()
+                who, code = canonical_kmers(b.column(1).to_pylist(), k)
+                h = (mix(code) >> np.uint64(1)).astype(np.int64)
+                ends = np.searchsorted(who, np.arange(b.num_rows + 1))
+                n = np.diff(ends)
+                late = b.column(2).to_pylist() if hot else [None] * b.num_rows
+                lists = [_order(h[ends[i] : ends[i + 1]], np.asarray(late[i] or [], np.int64))[: keep(int(n[i]))] for i in range(b.num_rows)]
+                size = [len(x) for x in lists]
+                cols = [pa.array(np.repeat(reps, size)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "n", "v"])
 
-    return src.mapInArrow(run, "id bigint, fp binary, n int, sk array<bigint>, t string")
+    return sets.mapInArrow(run, "rep bigint, n int, v bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -113,40 +139,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, shared bigint, total bigint")
 
 
-def similar_sequences(df: DataFrame, id_col: str, seq_col: str, k: int, num: int, den: int, size: int = 64, common: int = 128) -> tuple[DataFrame, DataFrame]:
+def similar_sequences(
+    df: DataFrame, id_col: str, seq_col: str, k: int, num: int, den: int, size: int | None = None, common: int = 128, meet: int = 4, piece: int = 2048
+) -> tuple[DataFrame, DataFrame]:
     """``pairs [a, b, shared, total]`` between sequences of different k-mer sets, a < b,
     whose sets of canonical k-mers have a Jaccard similarity of ``num/den`` or more; and
     ``members [id, rep]``, ``rep`` being the smallest id with the same k-mer set.
 
     Null ids, null sequences and sequences without a k-mer are in no pair and have no
     member row; an id given twice counts once; other columns are not read; an empty table
-    gives no rows. ``size`` values are retained per sketch. At a threshold of 1/2 and 64
-    values, a similar pair escapes the lists with a probability below 1e-5 and the estimate
-    below 1e-6 (both fall with ``size``); pairs that are found are exact. ``common`` is the
-    number of sketches above which a value counts as very common.
+    gives no rows. A sketch keeps as many values as make the lists complete for the
+    threshold, and the result is exact. ``size`` bounds the sketches of collections of long
+    sequences; then a similar pair may be missed, the less the larger it is. ``meet`` values
+    must be shared in the lists. ``common`` is the number of sketches above which a value
+    goes to the end of the order, ``piece`` the length at which a list is cut for joining;
+    these three change the work only.
     """
-    members, sets = classes(_prepare(df, id_col, seq_col, k, size))
-    flat = sets.select("rep", F.explode("sk").alias("v"))
-    hot = cut(flat.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > common))
-    own = flat.join(hot, "v").groupBy("rep").agg(F.collect_set("v").alias("hot"))
-    none = F.array().cast("array<bigint>")
-    marked = sets.join(own, "rep", "left").withColumn("light", F.array_except("sk", F.coalesce("hot", none)))
-    lists = cut(marked.select("rep", "n", F.slice("light", 1, size // 2).alias("vs"), (F.size("sk") - F.size("light") > F.size("sk") * (num / den / 2)).alias("bare")))
-    inv = lists.select("rep", "n", F.explode("vs").alias("v"))
-    ia = inv.select("v", F.col("rep").alias("a"), F.col("n").alias("na"))
-    ib = inv.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    keep = lambda n: retained(n, num, den, meet, size)
+    members, sets = classes(_prepare(df, id_col, seq_col, k))
+    texts = spread(sets.select("rep", "t"))
+    first = _sketches(texts, k, keep, False)
+    hot = cut(first.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > common))
+    late = first.join(hot, "v").groupBy("rep").agg(F.collect_list("v").alias("hot"))
+    inv = cut(_sketches(texts.join(late, "rep", "left"), k, keep, True))
+    # a long list is cut into pieces on one side and repeated for each on the other
+    long = inv.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > piece).select("v", F.ceil(F.col("c") / piece).cast("int").alias("k"))
+    cutlists = inv.join(long, "v", "left")
+    one = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"), F.lit(0)).alias("s")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k") - 1, F.lit(0)))).alias("s")
+    ia = cutlists.select("v", one, F.col("rep").alias("a"), F.col("n").alias("na"))
+    ib = cutlists.select("v", every, F.col("rep").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    met = ia.join(ib, "v").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("na", "nb")).alias("m"))
-    found = met.where((F.col("c") >= 2) | (F.col("m") <= size)).select("a", "b")
-    bare = cut(lists.where("bare").select("rep"))
-    if not bare.isEmpty():
-        mine = sets.join(bare, "rep").select(F.col("rep").alias("x"), F.col("n").alias("na"), F.explode("sk").alias("v"))
-        every = sets.select(F.col("rep").alias("y"), F.col("n").alias("nb"), F.explode("sk").alias("v"))
-        more = mine.join(every, "v").where((F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = found.unionByName(more).distinct()
-    sa, sb = sets.select(F.col("rep").alias("a"), F.col("sk").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("sk").alias("sb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, size)
-    shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    bound = num / den - math.sqrt(math.log(1e6) / (2 * size))
-    likely = found.join(sa, "a").join(sb, "b").where(shared >= F.size(union) * F.lit(max(0.0, bound))).select("a", "b")
-    return cut(_verified(likely, sets, k, num, den)), members
+    met = ia.join(ib, ["v", "s"]).where((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("na", "nb")).alias("m"))
+    found = met.where(F.col("c") >= F.least(F.lit(meet), F.ceil(F.col("m") * num / den))).select("a", "b", "c")
+    return cut(_verified(_likely(found, inv, num, den, size), sets, k, num, den)), members
+
+
+def _likely(found: DataFrame, inv: DataFrame, num: int, den: int, size: int | None) -> DataFrame:
+    """Pairs whose union sketch allows the threshold: up to the end of the shorter sketch
+    all shared values are among the c seen, and no more than what the other set holds
+    beyond its own sketch can follow; what they must share at least is known from n."""
+    part = inv.groupBy("rep").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("p"))
+    pa_, pb = part.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa")), part.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    most = F.col("c") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return found.join(pa_, "a").join(pb, "b").where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
