@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import mark
 
 
 def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -32,7 +32,7 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         .select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
         .distinct()
     )
-    graph = cut(_both(e))
+    graph = mark(_both(e))
     forest: list[DataFrame] = []
     while not graph.isEmpty():
         if len(forest) >= max_rounds:
@@ -41,17 +41,17 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         proposals = (
             graph.join(low, "s").select(F.col("t").alias("x"), F.col("m").alias("y")).unionByName(low.select(F.col("s").alias("x"), F.col("m").alias("y"))).distinct()
         )
-        proposals = cut(proposals)
+        proposals = mark(proposals)
         best = proposals.groupBy("x").agg(F.min("y").alias("p"), F.max(F.col("x") == F.col("y")).alias("seed"))
-        forest.append(cut(best.where(~F.col("seed")).select("x", "p")))
+        forest.append(mark(best.where(~F.col("seed")).select("x", "p")))
         kept = proposals.join(best.select("x", "p"), "x").where("y <> p").select(F.col("p").alias("s"), F.col("y").alias("t"))
-        graph = cut(_both(kept.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()))
+        graph = mark(_both(kept.select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()))
     if not forest:
         return e.select(F.col("s").alias("group_id"), F.col("t").alias("record_id")).limit(0)
     labels = forest[-1].select("x", F.col("p").alias("g"))
     for level in reversed(forest[:-1]):
         up = labels.select(F.col("x").alias("p"), "g")
-        labels = cut(level.join(up, "p", "left").select("x", F.coalesce("g", "p").alias("g")).unionByName(labels))
+        labels = mark(level.join(up, "p", "left").select("x", F.coalesce("g", "p").alias("g")).unionByName(labels))
     seeds = labels.select("g").distinct().select(F.col("g").alias("group_id"), F.col("g").alias("record_id"))
     return labels.select(F.col("g").alias("group_id"), F.col("x").alias("record_id")).unionByName(seeds)
 

@@ -50,12 +50,14 @@ def frequent_values(df: DataFrame, value: str, count: str, share_num: int, share
 
     At most ``share_den // share_num`` values can qualify, which is the k of the local and
     final top k (so the bound drops nothing). The comparison is in integers. The grand
-    total is a scalar subquery over the same aggregation; its shuffle is reused. Counts
-    below 0 would break the bound and are rejected.
+    total is a scalar subquery over the same aggregation; its shuffle is reused. A count
+    below 0 would break the bound and fails the query.
     """
     if share_num < 1 or share_den < share_num:
         raise ValueError("the share must lie in (0, 1]")
-    totals = value_totals(df.where(F.coalesce(F.col(count), F.lit(0)) >= 0), value, count, obs_id)
+    negative = F.raise_error(F.concat(F.lit("negative count: "), F.col(count).cast("string"))).cast("bigint")
+    checked = df.select(F.col(value), F.when(F.col(count) < 0, negative).otherwise(F.col(count)).alias(count), *([obs_id] if obs_id else []))
+    totals = value_totals(checked, value, count, obs_id)
     grand = totals.agg(F.sum("total")).scalar()
     top = totals.orderBy(F.desc("total"), F.asc(value)).limit(share_den // share_num)
     return top.where((F.col("total").cast("decimal(38,0)") * share_den >= grand.cast("decimal(38,0)") * share_num) & (F.col("total") > 0))

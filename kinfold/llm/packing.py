@@ -5,7 +5,8 @@ three sums. Items are dealt at random into shards of a bounded number of items;
 is packed by the dot-product heuristic: into the open container goes the fitting item whose
 normalised vector has the largest dot product with what is left of the container. The
 containers of a shard that stayed slack, a few at its end, are opened again and their items
-packed across shards in further rounds, each over far fewer items, until one shard is left.
+packed across shards in further rounds, until one shard is left or a round saves hardly any
+container, as with items that leave every container slack whatever their company.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ def pack(
     limits: Sequence[int],
     shard_items: int = 4000,
     slack: float = 0.02,
+    gain: float = 0.01,
 ) -> DataFrame:
     """``[<id_col>, piece, <sizes>, container_id]``: a container for every item.
 
@@ -71,7 +73,9 @@ def pack(
     other sizes are divided in proportion, rounded up, at most their limit). No other item
     is split. Rows whose first size is null or not above 0 need no container and give no
     row; a null further size counts as 0. Repeated ids are separate items. An item that
-    exceeds another limit without exceeding the first raises an error.
+    exceeds another limit without exceeding the first raises an error. A container filled
+    below ``1 - slack`` is opened again; the rounds end when one saves less than the share
+    ``gain`` of the containers it opened. Every item is packed in any case.
     """
     first, spark = sizes[0], items.sparkSession
     cap = int(limits[0])
@@ -101,22 +105,18 @@ def pack(
 
     schema = f"i {todo.schema['i'].dataType.simpleString()}, piece int, {', '.join(f'{c} bigint' for c in cols)}, u bigint, shard bigint, bin bigint, open boolean"
     done: list[DataFrame] = []
-    n, step = int(stats["n"]), 0
+    n, step, held = int(stats["n"]), 0, None
     while True:
         shards = max(1, -(-n // shard_items))
         keyed = todo.withColumn("shard", F.pmod(F.xxhash64("u", F.lit(step)), F.lit(shards)))
         packed = cut(keyed.groupBy("shard").applyInPandas(shard, schema))
-        last = shards == 1
+        box = F.struct("shard", "bin")
+        got = packed.agg(F.countDistinct(box).alias("all"), F.countDistinct(F.when(F.col("open"), box)).alias("open"), F.count_if("open").alias("n")).first()
+        last = shards == 1 or (held is not None and got["all"] > (1 - gain) * held)
         tag = F.lit(step << 56).bitwiseOR(F.shiftleft("shard", 24)).bitwiseOR(F.col("bin"))
         done.append((packed if last else packed.where("not open")).select("i", "piece", *cols, tag.alias("container_id")))
         if last:
             break
         todo = packed.where("open").drop("shard", "bin", "open")
-        n, before = todo.count(), n
-        step += 1
-        if n > before // 2:  # hardly anything closes: pack what is left and stop
-            keyed = todo.withColumn("shard", F.pmod(F.xxhash64("u", F.lit(step)), F.lit(max(1, -(-n // shard_items)))))
-            tag = F.lit(step << 56).bitwiseOR(F.shiftleft("shard", 24)).bitwiseOR(F.col("bin"))
-            done.append(keyed.groupBy("shard").applyInPandas(shard, schema).select("i", "piece", *cols, tag.alias("container_id")))
-            break
+        n, held, step = got["n"], got["open"], step + 1
     return union_all(done).select(F.col("i").alias(id_col), "piece", *[F.col(c).alias(s) for c, s in zip(cols, sizes, strict=True)], "container_id")

@@ -2,8 +2,8 @@
 
 1. Fit, on a bounded sample of labelled documents: the running text is read from the
    markup; word sequences of up to four words that are far more frequent under some subject
-   than overall become items; every stretch of a sentence is a transaction of its items and
-   of the document's subjects; parallel frequent-pattern growth mines the rules {items} ->
+   than overall become items; every run of up to six items of a sentence is a transaction,
+   with the document's subjects; parallel frequent-pattern growth mines the rules {items} ->
    subject. A rule with two items that is hardly surer than a rule with one of them is
    redundant and pruned. Confidences are smoothed towards the subjects' priors.
 2. Score, all documents in one pass over their whole texts: the mentions of a document are
@@ -19,6 +19,7 @@ may be missing or wrong.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +41,9 @@ FUNCTION_WORDS = {
     "es": "el la los las de y es una para en que del con",
 }
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_LONGEST = 4
+_LONGEST = 4  # words of an item
+_RUN = 6  # items of a transaction, in mining and in scoring alike
+_FEW, _OFTEN = 4.0, 3  # in a class of fewer labelled documents, repetition within one counts
 
 
 def language(sentences: list[list[str]]) -> str:
@@ -85,7 +88,7 @@ class SubjectModel:
             found = munch(s, items, first)
             sure = [items[g] for g in found]
             for i in range(len(found)):
-                for j in range(i + 1, len(found)):
+                for j in range(i + 1, min(i - i % _RUN + _RUN, len(found))):
                     p = double.get((found[i], found[j]) if found[i] <= found[j] else (found[j], found[i]))
                     if p is not None:
                         sure[i] = p if p.max() > sure[i].max() else sure[i]
@@ -126,15 +129,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sam
     are left out, repeated ones count once."""
     names = [r[0] for r in subjects.select("subject").where("subject is not null").distinct().orderBy("subject").collect()]
     known = subjects.where("subject is not null").select(normal_subject(F.col("subject")).alias("key"), F.col("subject").alias("s")).dropDuplicates(["key"])
-    pairs = labels.where("doc_id is not null").select("doc_id", normal_subject(F.col("subject")).alias("key")).join(F.broadcast(known.limit(1000)), "key")
+    pairs = labels.where("doc_id is not null").select("doc_id", normal_subject(F.col("subject")).alias("key")).join(known, "key")
     chosen = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("classes")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     return cut(texts), names
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 20_000, max_items: int = 50_000) -> SubjectModel:
-    """Rules and threshold from at most ``sample`` labelled documents and at most
-    ``max_items`` items (those of the strongest association)."""
+def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 20_000) -> SubjectModel:
+    """Rules and threshold from at most ``sample`` labelled documents; this bound of the
+    sample is the only one, and it bounds the items and rules that are found in it.
+
+    An item needs two documents. In a subject with fewer than four labelled documents a
+    word sequence that one of them repeats counts for more, by the logarithm of its number,
+    so that a subject with a single labelled document has items as well."""
     spark = docs.sparkSession
     texts, names = labelled_sample(docs, labels, subjects, sample)
     size = len(names)
@@ -152,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 2
     prior = np.zeros(size)
     for r in masses:
         prior[place[r["c"]]] = r["w"]
+    few = {i for i in range(size) if 0 < prior[i] < _FEW}
     if not prior.sum():
         return SubjectModel(names, np.full(size, 1 / max(size, 1)))
     prior = (prior + 0.5) / (prior + 0.5).sum()
@@ -167,20 +175,20 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 2
         for b in batches:
             lang, gram, cls, w = [], [], [], []
             for _, k, text, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                no, seen = stop.get(k, set()), set()
+                no, seen = stop.get(k, set()), Counter()
                 for line in text.split("\n"):
                     s = line.split(" ")
                     for at in range(len(s)):
                         if s[at] not in no:
                             for n in range(1, min(_LONGEST, len(s) - at) + 1):
                                 if s[at + n - 1] not in no:
-                                    seen.add(" ".join(s[at : at + n]))
-                for g in seen:
+                                    seen[" ".join(s[at : at + n])] += 1
+                for g, often in seen.items():
                     for c in classes:
                         lang.append(k)
                         gram.append(g)
                         cls.append(place[c])
-                        w.append(1 / len(classes))
+                        w.append((1 + math.log(often) if often >= _OFTEN and place[c] in few else 1) / len(classes))
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(cls, pa.int32()), pa.array(w, pa.float64())], ["lang", "g", "c", "w"])
 
     seen = read_docs.mapInArrow(grams, "lang string, g string, c int, w double")
@@ -188,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 2
     stats = seen.groupBy("lang", "g").agg(F.sum("w").alias("n"), *each).where(F.col("n") >= 1.99)
     z = F.greatest(*[(F.col(f"c{i}") - F.col("n") * float(p)) / F.sqrt(F.col("n") * float(p * (1 - p))) for i, p in enumerate(prior)], F.lit(0.0))
     lift = F.greatest(*[F.col(f"c{i}") / F.col("n") / float(p) for i, p in enumerate(prior)], F.lit(0.0))
-    kept = stats.select("lang", "g", z.alias("z"), lift.alias("l")).where("z >= 3 and l >= 2").orderBy(F.desc("z"), "lang", "g").limit(max_items).collect()
+    kept = stats.select("lang", "g", z.alias("z"), lift.alias("l")).where("z >= 3 and l >= 2").select("lang", "g").collect()
     items: dict[str, set[tuple[str, ...]]] = {}
     for r in kept:
         items.setdefault(r["lang"], set()).add(tuple(r["g"].split(" ")))
@@ -203,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 2
                 tags = [f"\t{place[c]}" for c in classes]
                 for line in text.split("\n"):
                     found = munch(line.split(" "), items.get(k, ()), first.get(k, ()))
-                    for at in range(0, len(found), 6):
-                        out.append(sorted({f"{k}\t{' '.join(g)}" for g in found[at : at + 6]}) + tags)
+                    for at in range(0, len(found), _RUN):
+                        out.append(sorted({f"{k}\t{' '.join(g)}" for g in found[at : at + _RUN]}) + tags)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
 
     baskets = cut(read_docs.mapInArrow(transactions, "items array<string>"))
@@ -215,10 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 2
     is_tag = lambda x: x.startswith("\t")
     tags, terms = F.filter("items", is_tag), F.filter("items", lambda x: ~x.startswith("\t"))
     rules = mined.where((F.size(tags) == 1) & F.size(terms).between(1, 2)).select(F.array_sort(terms).alias("a"), F.element_at(tags, 1).alias("c"), "freq")
+    found = rules.groupBy("a").agg(F.collect_list(F.struct("c", "freq")).alias("f"), F.sum("freq").alias("n")).where((F.size("a") == 1) | (F.col("n") >= 5))
     counts: dict[tuple[str, ...], np.ndarray] = {}
-    few = rules.withColumn("two", F.size("a")).orderBy("two", F.desc("freq"), "a", "c").limit(8 * max_items)
-    for r in few.toLocalIterator():
-        counts.setdefault(tuple(r["a"]), np.zeros(size))[int(r["c"][1:])] = r["freq"]
+    for r in found.select("a", "f").collect():
+        v = counts[tuple(r["a"])] = np.zeros(size)
+        for c, freq in r["f"]:
+            v[int(c[1:])] = freq
     single: dict[str, dict] = {}
     double: dict[str, dict] = {}
     sure: dict[str, float] = {}
@@ -228,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 2
             p = single.setdefault(k, {})[tuple(g.split(" "))] = (v + prior) / (v.sum() + 1)
             sure[a[0]] = p.max()
     for a, v in counts.items():
-        if len(a) == 2 and v.sum() >= 5:
+        if len(a) == 2:
             p = (v + prior) / (v.sum() + 1)
             if p.max() > max(sure.get(x, 1.0) for x in a) + 0.05:  # else redundant
                 k = a[0].split("\t")[0]
@@ -270,7 +280,7 @@ def document_subjects(docs: DataFrame, model: SubjectModel) -> DataFrame:
     A null, empty or blank text, one without running text and one about none of the
     subjects give no row; a repeated document gives its rows once; other columns than
     doc_id and text are not read. The model is broadcast; its size is bounded by the
-    number of items it was fitted with.
+    labelled sample it was fitted on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

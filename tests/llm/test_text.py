@@ -191,3 +191,25 @@ def test_subjects_on_held_out_documents(spark):
     assert len(held & want) / len(held) > 0.97 and len(held & want) / len(want) > 0.93
     empty = subjects.fit(frame, lab.limit(0), subs)
     assert subjects.document_subjects(frame, empty).count() == 0
+
+
+def test_awkward_items_end_the_rounds(spark):
+    """Items of three quarters of a container: none can be saved, and none may be lost."""
+    items = spark.range(600).select(F.col("id"), F.lit(75).alias("n"))
+    out = packing.pack(items, "id", ["n"], [100], shard_items=50)
+    assert out.count() == 600 == out.select("container_id").distinct().count()
+
+
+def test_negative_counts_fail(spark):
+    df = spark.createDataFrame([(1, 5), (1, -4)], "v bigint, c bigint")
+    with pytest.raises(Exception, match="negative count"):
+        heavy_hitters.frequent_values(df, "v", "c", 1, 10).collect()
+
+
+def test_subjects_of_one_labelled_document_each(spark):
+    texts = ["Radio jet and radio jet. " * 4 + "The radio jet is near the molecular cloud.", "A prime and an elliptic curve. " * 4 + "The elliptic curve of a prime."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + ["We see a radio jet. The radio jet moves.", "", None])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, "Stars"), (1, "numbers")], "doc_id bigint, subject string")
+    names = spark.createDataFrame([(x, x) for x in ["stars", "numbers", *"abcdefgh"]], "subject string, title string")
+    got = {tuple(r) for r in subjects.document_subjects(docs, subjects.fit(docs, labels, names)).collect()}
+    assert {(0, "stars"), (1, "numbers"), (2, "stars")} <= got and {i for i, _ in got} <= {0, 1, 2}
