@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from importlib.util import find_spec
 
 from pyspark.sql import SparkSession
 
@@ -14,7 +15,7 @@ HEADLINE = [
     "doc_shingle_oph", "doc_nearest_topk", "seq_minimizers", "seq_edit_distance", "csr_exact_measures", "csr_lsh_candidates",
     "csr_densified", "csr_probminhash", "kmer_exact_counts", "basket_oph", "lineitem_count_sketch", "embedding_cosine_topk",
 ]
-EXTRA = ["p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_ids", "p9_containers"]
+EXTRA = ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_ids", "p9_containers", "p10_found"]
 
 
 def main() -> None:
@@ -30,12 +31,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     todo = {q: registry.QUERIES[q] for q in HEADLINE}
-    try:
+    if find_spec("kinfold.llm"):
         from kinfold.llm import queries as more
 
         todo |= {q: more.QUERIES[q] for q in EXTRA}
-    except ImportError:
-        pass
     times = {}
     for name, f in todo.items():
         began = time.time()

@@ -69,13 +69,19 @@ def config(a: argparse.Namespace) -> SketchConfig:
     return SketchConfig(a.k, a.size, a.window, Space(a.space), Kind.ONE_PERMUTATION, "dna", not a.no_canon, a.seed, a.min_count, a.downsample, a.spacing).checked()
 
 
+def _print(spark: SparkSession, paths: str) -> str:
+    """A fingerprint of sequence files, whatever the order of their records."""
+    r = files.read_fastx(spark, paths).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("seq")), F.bit_xor(F.xxhash64("seq", F.lit(1)))).first()
+    return ",".join(str(x) for x in r)
+
+
 def sketch(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     """Registers ``[entity, reg, v]`` and totals ``[entity, card]`` of sequence files."""
     cfg = config(a)
     rec = files.read_fastx(spark, ",".join(a.inputs))
     entity = F.concat_ws(":", "path", F.col("ordinal").cast("string")) if a.parse_by_seq else F.col("path")
     seqs = rec.select(entity.alias("entity"), K.clean(F.col("seq")).alias("seq"))
-    cache = SketchCache(a.cache, cfg) if a.cache else None
+    cache = SketchCache(a.cache, cfg, _print(spark, a.filterset) if a.filterset else "") if a.cache else None
     todo = cache.missing(seqs) if cache else seqs
     offsets = K.spacing(cfg.spacing) if cfg.spacing else None
     km = K.kmers(todo, "entity", "seq", cfg.k, canon=cfg.canonical, offsets=offsets)
@@ -96,7 +102,11 @@ def sketch(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataF
             regs = S.probminhash(counts, "kmer", "cnt", cfg.size).select("entity", "reg", S.h60(F.col("item")).alias("v"))
         else:
             regs = S.oph(counts, "kmer", cfg.size, cfg.seed)
-    regs = cache.add(regs) if cache else regs
+    regs = cache.add(regs, seqs) if cache else regs
+    if cfg.space in (Space.PROBABILITY, Space.EDIT):
+        # registers of these spaces are no bucket minima: weigh by the number of k-mers
+        every = K.kmers(seqs, "entity", "seq", cfg.k, canon=cfg.canonical, offsets=offsets)
+        return regs, every.groupBy("entity").agg(F.count(F.lit(1)).cast("double").alias("card"))
     return regs, S.oph_cardinality(regs, cfg.size)
 
 

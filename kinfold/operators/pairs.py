@@ -15,22 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def register_pairs(regs: DataFrame, value: str = "v", most: int | None = None) -> DataFrame:
+def register_pairs(regs: DataFrame, value: str = "v", most: int = 4096) -> DataFrame:
     """``[i, j, eq]``, i < j: number of equal registers, where there are any.
 
-    With ``most``, a (register, value) bucket of more entities than that contributes no
-    candidate by itself: the equal registers of all pairs found elsewhere are then counted
-    from the full registers, so counts stay exact for every pair that shares at least one
-    smaller bucket."""
-    left = regs.select(F.col("entity").alias("i"), "reg", F.col(value).alias("v"))
-    right = regs.select(F.col("entity").alias("j"), "reg", F.col(value).alias("v"))
-    if most is None:
-        return left.join(right, ["reg", "v"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("eq"))
-    big = regs.groupBy("reg", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("reg", "v")
-    small = left.join(big, ["reg", "v"], "left_anti").join(right, ["reg", "v"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("eq"))
-    hot_i, hot_j = left.join(big, ["reg", "v"]), right.join(big, ["reg", "v"])
-    more = small.select("i", "j").join(hot_i, "i").join(hot_j, ["j", "reg", "v"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("m"))
-    return small.join(more, ["i", "j"], "left").select("i", "j", (F.col("eq") + F.coalesce("m", F.lit(0))).alias("eq"))
+    A (register, value) bucket of more than ``most`` entities is cut into pieces of that
+    size on one side and repeated for each on the other, so that it is no single task; all
+    pairs are found whatever ``most`` is."""
+    base = regs.select("entity", "reg", F.col(value).alias("v"))
+    big = base.groupBy("reg", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("reg", "v", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    cut = base.join(big, ["reg", "v"], "left")
+    one = F.coalesce(F.pmod(F.xxhash64("entity"), F.col("k")).cast("int"), F.lit(0)).alias("s")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k") - 1, F.lit(0)))).alias("s")
+    left, right = cut.select(F.col("entity").alias("i"), "reg", "v", one), cut.select(F.col("entity").alias("j"), "reg", "v", every)
+    return left.join(right, ["reg", "v", "s"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("eq"))
+
+
+def with_filled(pairs: DataFrame, regs: DataFrame, size: int) -> DataFrame:
+    """Adds ``filled``: how many registers are filled on either side. The equal share of
+    these estimates the Jaccard similarity without bias, for short entities too."""
+    words = [F.bit_or(F.when(F.floor(F.col("reg") / 32) == w, F.expr("shiftleft(1L, reg % 32)")).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}") for w in range(-(-size // 32))]
+    mask = regs.groupBy("entity").agg(*words).select("entity", F.array(*[f"m{w}" for w in range(len(words))]).alias("m"))
+    a, b = mask.select(F.col("entity").alias("i"), F.col("m").alias("ma")), mask.select(F.col("entity").alias("j"), F.col("m").alias("mb"))
+    n = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda t, x: t + x)
+    return pairs.join(a, "i").join(b, "j").withColumn("filled", n).drop("ma", "mb")
 
 
 def shared_items(sets: DataFrame, item: str, weight: str | None = None) -> DataFrame:

@@ -170,12 +170,15 @@ def signatures(regs: DataFrame) -> DataFrame:
 
 
 def bagminhash(features: DataFrame, item: str, weight: str, size: int) -> DataFrame:
-    """Weighted (multiset) min-hash for integer weights: each unit of weight is a replica;
-    one-permutation registers over the replicas. Collisions follow sum min / sum max."""
-    w = features.where(F.col(item).isNotNull() & (F.col(weight) >= 1)).select("entity", F.col(item).alias("x"), F.floor(weight).cast("int").alias("w"))
-    rep = w.select("entity", F.col("x").cast("string").alias("x"), F.explode(F.sequence(F.lit(1), F.col("w"))).alias("r"))
-    rep = rep.select("entity", F.concat_ws("#", F.col("x"), F.col("r").cast("string")).alias("item"))
-    return oph(rep, "item", size)
+    """Weighted (multiset) min-hash: each unit of weight is a replica, and a rest of less
+    than a unit is one where a hash of item and replica lies below it, in every entity
+    alike; one-permutation registers over the replicas. Collisions follow sum min / sum max
+    for real weights; those not above 0 are absent."""
+    w = features.where(F.col(item).isNotNull() & (F.col(weight) > 0)).select("entity", F.col(item).cast("string").alias("x"), F.col(weight).cast("double").alias("w"))
+    rep = w.select("entity", "w", "x", F.explode(F.sequence(F.lit(1), F.ceil("w").cast("int"))).alias("r"))
+    rep = rep.select("entity", "w", "r", F.concat_ws("#", F.col("x"), F.col("r").cast("string")).alias("item"))
+    part = u01(h60(F.concat(F.col("item"), F.lit("!")))) <= F.col("w") - (F.col("r") - 1)
+    return oph(rep.where((F.col("r") <= F.col("w")) | part), "item", size)
 
 
 def icws(features: DataFrame, item: str, weight: str, size: int) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators import filters as FL
 from ..operators import neighbours as N
 from ..operators import pairs as P
 from ..operators import sketches as S
-from ..runtime import table
+from ..runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,7 +46,7 @@ def r9(c):
 
 def _shingles(spark, d, n=5):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return K.shingles(docs.repartition(2 * spark.sparkContext.defaultParallelism), "doc_id", "text", n)
+    return K.shingles(spread(docs), "doc_id", "text", n)
 
 
 _SH = r"""
@@ -72,28 +72,54 @@ def doc_oph_cardinality(spark, d):
     return S.oph_cardinality(S.oph(_shingles(spark, d), "shingle", 128), 128).select("entity", r9("card").alias("card"))
 
 
+def _mask_sql(regs: str, size: int) -> str:
+    words = ", ".join(f"bit_or(case when reg // 32 = {w} then cast(1 as bigint) << (reg % 32) else 0 end) as m{w}" for w in range(size // 32))
+    return f"mk as (select entity, {words} from {regs} group by entity)"
+
+
+def _filled_sql(size: int) -> str:
+    """Registers filled in either of two entities, from their masks a and b."""
+    return "(" + " + ".join(f"cast(bit_count(a.m{w} | b.m{w}) as integer)" for w in range(size // 32)) + ")"
+
+
 def _doc_pairs(spark, d):
-    return P.register_pairs(S.oph(_shingles(spark, d), "shingle", 128)).select("i", "j", M.similarity(F.col("eq"), 128).alias("score"))
+    """``[i, j, eq, filled]``: registers equal, and filled on either side."""
+    regs = S.oph(_shingles(spark, d), "shingle", 128)
+    return P.with_filled(P.register_pairs(regs), regs, 128)
+
+
+_DFILL = f"{_DPAIR}, {_mask_sql('r', 128)}, f as (select i, j, eq, {_filled_sql(128)} as filled from p join mk a on a.entity = i join mk b on b.entity = j)"
 
 
-@query(f"""with {_DPAIR}, e as (select i, j, eq from p union all select j, i, eq from p),
- k as (select i, j, round(eq / 128.0, 9) as score, rank() over (partition by i order by eq desc) as rk from e)
+@query(f"""with {_DFILL}, e as (select i, j, cast(eq as double) / filled as s from f union all select j, i, cast(eq as double) / filled from f),
+ k as (select i, j, round(s, 9) as score, rank() over (partition by i order by s desc) as rk from e)
  select i, j, score, cast(rk as integer) as rk from k where rk <= 5""")
 def doc_nearest_topk(spark, d):
-    return N.topk(N.both_ways(_doc_pairs(spark, d), "score"), "score", 5).select("i", "j", r9("score").alias("score"), "rk")
+    scored = _doc_pairs(spark, d).select("i", "j", (F.col("eq") / F.col("filled")).alias("score"))
+    return N.topk(N.both_ways(scored, "score"), "score", 5).select("i", "j", r9("score").alias("score"), "rk")
 
 
-@query(f"with {_DPAIR} select i, j, round(eq / 128.0, 9) as score from p where eq >= 64")
+@query(f"""with {_SH}, n as (select entity, count(*) as n from sh group by entity),
+ p as (select x.entity as i, y.entity as j, count(*) as c from sh x join sh y on x.shingle = y.shingle and x.entity < y.entity group by 1, 2)
+ select i, j, round(c / cast(a.n + b.n - c as double), 9) as score from p join n a on a.entity = i join n b on b.entity = j where c * 5 >= 4 * (a.n + b.n - c)""")
 def doc_threshold_graph(spark, d):
-    return FL.threshold(_doc_pairs(spark, d), "score", 0.5).select("i", "j", r9("score").alias("score"))
+    """Near-duplicate documents: exact Jaccard similarity of five-word shingles from 0.8 on.
+    Sketches choose the pairs to verify: the equal share of the filled registers may lie
+    five standard errors below 0.8, which a similar pair does once in some millions."""
+    sh = _shingles(spark, d)
+    likely = _doc_pairs(spark, d).where(F.col("eq") >= 0.8 * F.col("filled") - 2 * F.sqrt("filled")).select("i", "j")
+    x, y = sh.select(F.col("entity").alias("i"), "shingle"), sh.select(F.col("entity").alias("j"), "shingle")
+    met = likely.join(x, "i").join(y, ["j", "shingle"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"))
+    q = P.with_sizes(met, C.cardinality(sh, "shingle"), "card").withColumn("u", F.col("a") + F.col("b") - F.col("c"))
+    return q.where(F.col("c") * 5 >= 4 * F.col("u")).select("i", "j", r9(F.col("c") / F.col("u")).alias("score"))
 
 
 # ---- sequences: k-mers and their relatives ------------------------------------------------
 
 
 def _seqs(spark, d):
-    s = table(spark, d, "fx_sequences").where("seq is not null").select(F.col("seq_id").alias("entity"), K.clean(F.col("seq")).alias("seq")).distinct()
-    return s.repartition(2 * spark.sparkContext.defaultParallelism)
+    s = spread(table(spark, d, "fx_sequences")).where("seq is not null")
+    return s.select(F.col("seq_id").alias("entity"), K.clean(F.col("seq")).alias("seq")).distinct()
 
 
 _SEQ = "s as (select distinct seq_id as entity, upper(regexp_replace(seq, '[ \\t\\r\\n]', '', 'g')) as seq from fx_sequences where seq is not null)"
@@ -215,18 +241,13 @@ def seq_order_minhash(spark, d):
     return S.orderminhash(_kmers(spark, d, 12), "kmer", 4, 2)
 
 
-_SPAIR = f"{_km(12)}, r as (select entity, cast({H('kmer')} % 64 as integer) as reg, min({H('kmer')}) as v from km group by 1, 2), p as (select x.entity as i, y.entity as j, count(*) as eq from r x join r y on x.reg = y.reg and x.v = y.v and x.entity < y.entity group by 1, 2 having count(*) >= 16)"
-
-
-def _seq_pairs(spark, d, least=16):
-    return P.register_pairs(S.oph(_kmers(spark, d, 12), "kmer", 64)).where(F.col("eq") >= least)
-
-
-@query(f"with {_SPAIR} select i, j, cast(levenshtein(x.seq, y.seq) as integer) as dist from p join s x on x.entity = i join s y on y.entity = j")
-def seq_edit_distance(spark, d):
-    s = _seqs(spark, d)
-    pairs = _seq_pairs(spark, d).join(s.select(F.col("entity").alias("i"), F.col("seq").alias("x")), "i").join(s.select(F.col("entity").alias("j"), F.col("seq").alias("y")), "j")
-    return pairs.select("i", "j", F.levenshtein("x", "y").alias("dist"))
+_SPAIR = f"""{_km(12)}, r as (select entity, cast({H('kmer')} % 64 as integer) as reg, min({H('kmer')}) as v from km group by 1, 2), {_mask_sql('r', 64)},
+ e as (select x.entity as i, y.entity as j, count(*) as eq from r x join r y on x.reg = y.reg and x.v = y.v and x.entity < y.entity group by 1, 2),
+ st as (select distinct entity, kmer from km), sn as (select entity, count(*) as n from st group by entity),
+ fw as (select st.entity, kmer from st join sn on sn.entity = st.entity where n < 64),
+ mt as (select distinct least(x.entity, y.entity) as i, greatest(x.entity, y.entity) as j, count(*) as c from fw x join st y on x.kmer = y.kmer and x.entity <> y.entity group by x.entity, y.entity),
+ p as (select i, j from e join mk a on a.entity = i join mk b on b.entity = j where eq * 4 >= {_filled_sql(64)}
+  union select i, j from mt join sn a on a.entity = i join sn b on b.entity = j where c * 4 >= a.n + b.n - c)"""
 
 
 def _seq_similar(spark, d):
@@ -234,8 +255,7 @@ def _seq_similar(spark, d):
     fewer distinct 12-mers than registers also by their exact Jaccard similarity."""
     km = _kmers(spark, d, 12)
     regs = S.oph(km, "kmer", 64)
-    mask = regs.groupBy("entity").agg(F.bit_or(F.expr("shiftleft(1L, reg)")).alias("m"))
-    near = P.with_sizes(P.register_pairs(regs), mask, "m").where(F.col("eq") * 4 >= F.bit_count(F.col("a").bitwiseOR(F.col("b")))).select("i", "j")
+    near = P.with_filled(P.register_pairs(regs), regs, 64).where(F.col("eq") * 4 >= F.col("filled")).select("i", "j")
     sets, n = C.exact_sets(km, "kmer"), C.cardinality(km, "kmer")
     few = sets.join(n.where("card < 64").select("entity"), "entity").select(F.col("entity").alias("x"), "kmer")
     met = few.join(sets.select(F.col("entity").alias("y"), "kmer"), "kmer").where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
@@ -244,6 +264,13 @@ def _seq_similar(spark, d):
     return near.unionByName(exact).distinct()
 
 
+@query(f"with {_SPAIR} select i, j, cast(levenshtein(x.seq, y.seq) as integer) as dist from p join s x on x.entity = i join s y on y.entity = j")
+def seq_edit_distance(spark, d):
+    s = _seqs(spark, d)
+    x, y = s.select(F.col("entity").alias("i"), F.col("seq").alias("x")), s.select(F.col("entity").alias("j"), F.col("seq").alias("y"))
+    return _seq_similar(spark, d).join(x, "i").join(y, "j").select("i", "j", F.levenshtein("x", "y").alias("dist"))
+
+
 @query()
 def seq_minimizer_edit(spark, d):
     seqs = K.sequence_of(K.minimizers(_kmers(spark, d, 12), 10, hpc=True), "h")
@@ -372,22 +399,22 @@ def csr_discrete_cardinality(spark, d):
     return S.discrete_cardinality(S.discretise(S.setsketch(_csr(spark, d), "item", 16), b, a, q), 16, b, a).select("entity", F.round("card", 6).alias("card"))
 
 
-def _discrete_pairs(spark, d, least=1):
+def _discrete_pairs(spark, d):
     b, a, q = S.PRESETS["byte"]
     m = _csr(spark, d)
     disc = S.discretise(S.setsketch(m, "item", 16), b, a, q)
     arrays = S.wide(disc.withColumnRenamed("k", "v"), 16)
-    return P.with_sizes(P.compare_arrays(P.shared_items(m, "item").where(F.col("shared") >= least), arrays), C.cardinality(m, "item"), "card")
+    return P.with_sizes(P.compare_arrays(P.shared_items(m, "item"), arrays), C.cardinality(m, "item"), "card")
 
 
 @query(f"""with {_DISC}, n as (select entity, count(*) as n from m group by entity),
- p as (select x.entity as i, y.entity as j from m x join m y on x.item = y.item and x.entity < y.entity group by 1, 2 having count(*) >= 10),
+ p as (select x.entity as i, y.entity as j from m x join m y on x.item = y.item and x.entity < y.entity group by 1, 2),
  c as (select i, j, count(*) filter (x.k > y.k) / 16.0 as gt, count(*) filter (x.k < y.k) / 16.0 as lt from p join di x on x.entity = i join di y on y.entity = j and y.reg = x.reg group by 1, 2),
  g as (select i, j, (1 - pow(1.2, -gt)) / (1 - 1 / 1.2) as ga, (1 - pow(1.2, -lt)) / (1 - 1 / 1.2) as gb, a.n as a, b.n as b from c join n a on a.entity = i join n b on b.entity = j),
  u as (select *, case when ga + gb >= 1 then a + b else (a + b) / (2 - ga - gb) end as un from g)
  select i, j, round(greatest(a + b - un, 0) / un, 9) as similarity from u""")
 def csr_compressed_similarity(spark, d):
-    q = _discrete_pairs(spark, d, 10)  # as the SQL has it
+    q = _discrete_pairs(spark, d)
     return q.select("i", "j", r9(M.compressed_similarity(F.col("gt") / 16, F.col("lt") / 16, F.col("a"), F.col("b"), 1.2)).alias("similarity"))
 
 
@@ -396,7 +423,12 @@ def csr_joint_ml(spark, d):
     return P.joint_ml(_discrete_pairs(spark, d), 1.2).select("i", "j", F.round("j_ml", 6).alias("j_ml"))
 
 
-@query(f"with {_CSR}, e as (select entity, item || '#' || r as x from (select entity, item, unnest(range(1, cast(floor(weight) as bigint) + 1)) as r from m where weight >= 1)) select entity, cast({H('x')} % 32 as integer) as reg, min({H('x')}) as v from e group by 1, 2")
+_UNIT = "item || '#' || r"
+
+
+@query(f"""with {_CSR}, e as (select entity, {_UNIT} as x from (select entity, item, weight, unnest(range(1, cast(ceil(weight) as bigint) + 1)) as r from m)
+  where r <= weight or ({H(_UNIT + " || '!'")} + 1) / 1152921504606846976.0 <= weight - (r - 1))
+ select entity, cast({H('x')} % 32 as integer) as reg, min({H('x')}) as v from e group by 1, 2""")
 def csr_bagminhash(spark, d):
     return S.bagminhash(_csr(spark, d), "item", "weight", 32)
 
@@ -449,7 +481,8 @@ def _band_sql(size: int, levels: int) -> str:
     return f"bp(level, sub, reg, width) as (values {plan}), bk as (select entity, level, sub, {key} as key from de join bp on bp.reg = de.reg group by entity, level, sub, width having count(*) = width)"
 
 
-_CAND = f"{_DENSE}, {_band_sql(64, 3)}, ca as (select x.entity as i, y.entity as j, max(x.level) as level, count(*) as hits from bk x join bk y on x.level = y.level and x.sub = y.sub and x.key = y.key and x.entity <> y.entity group by 1, 2), cr as (select *, row_number() over (partition by i order by level desc, hits desc, j) as r from ca)"
+_CA = "ca as (select x.entity as i, y.entity as j, max(x.level) as level, count(*) as hits from bk x join bk y on x.level = y.level and x.sub = y.sub and x.key = y.key and x.entity <> y.entity group by 1, 2)"
+_CAND = f"{_DENSE}, {_band_sql(64, 3)}, {_CA}, cr as (select *, row_number() over (partition by i order by level desc, hits desc, j) as r from ca)"
 
 
 @query(f"with {_CAND} select i, j, cast(level as integer) as level, hits from cr where r <= 10")
@@ -457,10 +490,15 @@ def csr_lsh_candidates(spark, d):
     return N.candidates(N.band_keys(S.densify(_oph(spark, d), 64), 64, 3), most=10)
 
 
-@query(f"with {_CAND}, n as (select entity, count(*) as n from m group by entity), cc as (select i, j from cr where r <= 11), sh as (select cc.i, cc.j, count(*) as s from cc join m x on x.entity = i join m y on y.entity = j and y.item = x.item group by 1, 2), sc as (select i, j, round(s / cast(a.n + b.n - s as double), 9) as score from sh join n a on a.entity = i join n b on b.entity = j), k as (select *, rank() over (partition by i order by score desc) as rk from sc) select i, j, score, cast(rk as integer) as rk from k where rk <= 3")
+_FINE = f"{_CSR}, h as (select entity, {H('cast(item as varchar)')} as h from m), r as (select entity, cast(h % 512 as integer) as reg, min(h) as v from h group by 1, 2), cc as (select distinct x.entity as i, y.entity as j from r x join r y on x.reg = y.reg and x.v = y.v and x.entity <> y.entity)"
+
+
+@query(f"with {_FINE}, n as (select entity, count(*) as n from m group by entity), sh as (select cc.i, cc.j, count(*) as s from cc join m x on x.entity = i join m y on y.entity = j and y.item = x.item group by 1, 2), sc as (select i, j, round(s / cast(a.n + b.n - s as double), 9) as score from sh join n a on a.entity = i join n b on b.entity = j), k as (select *, rank() over (partition by i order by score desc) as rk from sc) select i, j, score, cast(rk as integer) as rk from k where rk <= 3")
 def csr_knn_refined(spark, d):
     m = _csr(spark, d)
-    cand = N.candidates(N.band_keys(S.densify(_oph(spark, d), 64), 64, 3), most=11).select("i", "j")
+    # every set that shares one of 512 registers is rescored: recall 0.9 and more against
+    # csr_exact_knn, the exact form, whose neighbours may share a single item
+    cand = N.candidates(N.band_keys(S.oph(m, "item", 512), 512, 1)).select("i", "j")
     x, y = m.select(F.col("entity").alias("i"), "item"), m.select(F.col("entity").alias("j"), "item")
     exact = cand.join(x, "i").join(y, ["j", "item"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
     sized = P.with_sizes(exact, C.cardinality(m, "item"), "card")
@@ -502,18 +540,18 @@ _OBS = "o as (select distinct obs_id, sample_id, kmer, cnt from fx_kmer_counts w
 
 def _obs(spark, d):
     c = table(spark, d, "fx_kmer_counts").where("kmer is not null and cnt is not null")
-    return c.select("obs_id", "sample_id", "kmer", "cnt").dropDuplicates(["obs_id"])
+    return c.select("obs_id", "sample_id", "kmer", "cnt").distinct()
 
 
-@query(f"with {_OBS} select sample_id as entity, kmer, cast(sum(cnt) as bigint) as cnt from o where sample_id is not null group by 1, 2")
+@query(f"with {_OBS} select sample_id as entity, kmer, cast(sum(cnt) as bigint) as cnt from o group by 1, 2")
 def kmer_exact_counts(spark, d):
-    return C.counts(_obs(spark, d).where("sample_id is not null").withColumnRenamed("sample_id", "entity"), "kmer", "cnt")
+    return C.counts(_obs(spark, d).withColumnRenamed("sample_id", "entity"), "kmer", "cnt")
 
 
-@query(f"with {_OBS} select sample_id, cast(kmer % 257 as integer) as cell, cast(sum(case when (kmer // 257) % 2 = 1 then cnt else -cnt end) as bigint) as v from o where sample_id is not null group by 1, 2")
+@query(f"with {_OBS} select sample_id, cast(kmer % 257 as integer) as cell, cast(sum(case when (kmer // 257) % 2 = 1 then cnt else -cnt end) as bigint) as v from o group by 1, 2")
 def kmer_counters(spark, d):
     signed = F.when(F.expr("(kmer div 257) % 2 = 1"), F.col("cnt")).otherwise(-F.col("cnt"))
-    rows = _obs(spark, d).where("sample_id is not null")
+    rows = _obs(spark, d)
     return rows.groupBy("sample_id", F.expr("cast(kmer % 257 as int)").alias("cell")).agg(F.sum(signed).alias("v"))
 
 

@@ -6,6 +6,7 @@ the driver in order, a row at a time; Parquet is the native form for large resul
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import numpy as np
@@ -142,10 +143,14 @@ def weighted_sketch_parquet(sampled: DataFrame, totals: DataFrame, path: str) ->
 
 
 class SketchCache:
-    """Registers kept by configuration: entities found there are not sketched again."""
+    """Registers kept by configuration: entities found there are not sketched again.
 
-    def __init__(self, path: str, config: SketchConfig):
-        self.path = f"{path}/config={config.key()}"
+    ``blocked`` names the block list the sketches were made with (such as a fingerprint of
+    its files); sketches of another one are not used. An entity without any register is
+    kept as a row of nulls, so that it counts as known."""
+
+    def __init__(self, path: str, config: SketchConfig, blocked: str = ""):
+        self.path = f"{path}/config={config.key()}-{hashlib.sha256(blocked.encode()).hexdigest()[:16] if blocked else 'none'}"
 
     def load(self, spark) -> DataFrame | None:
         from pyspark.errors import AnalysisException
@@ -159,6 +164,8 @@ class SketchCache:
         held = self.load(entities.sparkSession)
         return entities if held is None else entities.join(held.select("entity").distinct(), "entity", "left_anti")
 
-    def add(self, regs: DataFrame) -> DataFrame:
-        regs.write.mode("append").parquet(self.path)
-        return regs.sparkSession.read.parquet(self.path)
+    def add(self, regs: DataFrame, entities: DataFrame) -> DataFrame:
+        """Keep ``regs``, and return the registers of ``entities [entity]`` of this run only."""
+        asked = entities.select("entity").distinct()
+        regs.join(self.missing(asked), "entity", "right").write.mode("append").parquet(self.path)
+        return regs.sparkSession.read.parquet(self.path).join(asked, "entity", "left_semi").where("reg is not null")

@@ -249,7 +249,7 @@ def read_splice(spark: SparkSession, path: str) -> DataFrame:
     samples = names[1:] if names and names[0] == "chrom" else names
     rows = spark.read.text(path).where(F.split("value", " ")[0].contains(":"))
     c = F.split("value", " ")
-    cells = rows.select(c[0].alias("junction"), F.posexplode(F.slice(c, 2, 1_000_000)).alias("n", "cell"))
+    cells = rows.select(c[0].alias("junction"), F.posexplode(F.slice(c, F.lit(2), F.size(c))).alias("n", "cell"))
     n = F.split("cell", "/")
     name = F.element_at(F.array(*[F.lit(s) for s in samples]), F.col("n") + 1)
     return cells.select(name.alias("sample"), "junction", n[0].cast("bigint").alias("num"), n[1].cast("bigint").alias("den"))

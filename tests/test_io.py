@@ -101,8 +101,12 @@ def test_cache_only_sketches_what_is_missing(spark, tmp_path):
     cache = W.SketchCache(str(tmp_path / "c"), SketchConfig(5))
     ents = spark.createDataFrame([(1, 5), (2, 6)], "entity bigint, item bigint")
     assert cache.missing(ents).count() == 2
-    cache.add(S.oph(ents.where("entity = 1"), "item", 4))
+    cache.add(S.oph(ents.where("entity = 1"), "item", 4), ents.where("entity = 1"))
     assert [r["entity"] for r in cache.missing(ents).collect()] == [2]
+    again = cache.add(S.oph(ents.where("entity = 2"), "item", 4), ents.where("entity = 2"))
+    assert {r["entity"] for r in again.collect()} == {2}
+    other = W.SketchCache(str(tmp_path / "c"), SketchConfig(5), "a block list")
+    assert other.missing(ents).count() == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):

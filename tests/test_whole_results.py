@@ -18,3 +18,20 @@ def test_minimizer_edit_has_short_reads(spark, tmp_path):
     spark.createDataFrame(rows, "seq_id bigint, seq string").write.parquet(f"{tmp_path}/fx_sequences.parquet")
     got = {(r["i"], r["j"]): r["dist"] for r in registry.seq_minimizer_edit(spark, str(tmp_path)).collect()}
     assert set(got) == {(1, 2), (3, 4)} and got[1, 2] == 0
+
+
+def test_short_documents_are_near_duplicates_too(spark, tmp_path):
+    text = "one two three four five six seven"
+    rows = [(1, text), (2, text), (3, text + " eight"), (4, "nothing of the kind is said in here"), (5, ""), (6, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["i"], r["j"]): r["score"] for r in registry.doc_threshold_graph(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): 1.0}
+    near = {(r["i"], r["j"]): r["score"] for r in registry.doc_nearest_topk(spark, str(tmp_path)).collect()}
+    assert near[1, 2] == 1.0 and near[1, 3] > 0.5
+
+
+def test_refined_neighbours_have_recall(spark):
+    d = "/root/testdata/sf0.01"
+    exact = {(r["i"], r["j"]) for r in registry.csr_exact_knn(spark, d).collect()}
+    found = {(r["i"], r["j"]) for r in registry.csr_knn_refined(spark, d).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
