@@ -15,6 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle. The planner takes exploded features to be as small as
+    the table they came from, so it would send them to the driver and broadcast them."""
+    return df.hint("merge")
+
+
 def register_pairs(regs: DataFrame, value: str = "v", most: int = 4096) -> DataFrame:
     """``[i, j, eq]``, i < j: number of equal registers, where there are any.
 
@@ -57,9 +63,13 @@ def with_sizes(pairs: DataFrame, sizes: DataFrame, size: str) -> DataFrame:
 
 
 def positional(seqs: DataFrame, item: str) -> DataFrame:
-    """``[i, j, matches]``: equal items at equal positions of ``[entity, pos, <item>]``."""
-    left, right = seqs.select(F.col("entity").alias("i"), "pos", F.col(item).alias("x")), seqs.select(F.col("entity").alias("j"), "pos", F.col(item).alias("x"))
-    return left.join(right, ["pos", "x"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("matches"))
+    """``[i, j, matches]``: equal items at equal positions of ``[entity, pos, <item>]``, where
+    a position has one item. An item's positions in a run of 64 are one row with a mask."""
+    bit = F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")
+    rows = seqs.groupBy("entity", F.floor(F.col("pos") / 64).alias("run"), F.col(item).alias("x")).agg(F.bit_or(bit).alias("m"))
+    left, right = rows.select(F.col("entity").alias("i"), "run", "x", F.col("m").alias("mi")), rows.select(F.col("entity").alias("j"), "run", "x", F.col("m").alias("mj"))
+    met = shuffled(left).join(right, ["run", "x"]).where("i < j and (mi & mj) <> 0")
+    return met.groupBy("i", "j").agg(F.sum(F.expr("bit_count(mi & mj)")).alias("matches"))
 
 
 def all_pairs(ids: DataFrame, scored: DataFrame, score: str, fill: float = 0.0) -> DataFrame:

@@ -35,3 +35,21 @@ def test_refined_neighbours_have_recall(spark):
     exact = {(r["i"], r["j"]) for r in registry.csr_exact_knn(spark, d).collect()}
     found = {(r["i"], r["j"]) for r in registry.csr_knn_refined(spark, d).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_positional_broadcasts_no_minimizers(spark):
+    df = registry.seq_positional(spark, "/root/testdata/sf0.001")
+    assert not _broadcasts(df)
+
+
+def test_positional_counts_runs_and_repeats(spark):
+    from kinfold.operators import pairs
+
+    items = {1: [7] * 70 + [8, 7], 2: [7] * 66 + [9] * 4 + [8, 8], 3: [9] * 72}
+    rows = [(e, p, x) for e, xs in items.items() for p, x in enumerate(xs, 1)]
+    got = {(r["i"], r["j"]): r["matches"] for r in pairs.positional(spark.createDataFrame(rows, "entity int, pos int, h int"), "h").collect()}
+    assert got == {(1, 2): 67, (2, 3): 4}
