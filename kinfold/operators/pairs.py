@@ -33,7 +33,7 @@ def register_pairs(regs: DataFrame, value: str = "v", most: int = 4096) -> DataF
     one = F.coalesce(F.pmod(F.xxhash64("entity"), F.col("k")).cast("int"), F.lit(0)).alias("s")
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k") - 1, F.lit(0)))).alias("s")
     left, right = cut.select(F.col("entity").alias("i"), "reg", "v", one), cut.select(F.col("entity").alias("j"), "reg", "v", every)
-    return left.join(right, ["reg", "v", "s"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("eq"))
+    return shuffled(left).join(right, ["reg", "v", "s"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("eq"))
 
 
 def with_filled(pairs: DataFrame, regs: DataFrame, size: int) -> DataFrame:
@@ -43,7 +43,7 @@ def with_filled(pairs: DataFrame, regs: DataFrame, size: int) -> DataFrame:
     mask = regs.groupBy("entity").agg(*words).select("entity", F.array(*[f"m{w}" for w in range(len(words))]).alias("m"))
     a, b = mask.select(F.col("entity").alias("i"), F.col("m").alias("ma")), mask.select(F.col("entity").alias("j"), F.col("m").alias("mb"))
     n = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda t, x: t + x)
-    return pairs.join(a, "i").join(b, "j").withColumn("filled", n).drop("ma", "mb")
+    return shuffled(shuffled(pairs).join(a, "i")).join(b, "j").withColumn("filled", n).drop("ma", "mb")
 
 
 def shared_items(sets: DataFrame, item: str, weight: str | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def shared_items(sets: DataFrame, item: str, weight: str | None = None) -> DataF
 def with_sizes(pairs: DataFrame, sizes: DataFrame, size: str) -> DataFrame:
     """Adds ``a`` and ``b``, the two sides' ``size``."""
     a, b = sizes.select(F.col("entity").alias("i"), F.col(size).alias("a")), sizes.select(F.col("entity").alias("j"), F.col(size).alias("b"))
-    return pairs.join(a, "i").join(b, "j")
+    return shuffled(shuffled(pairs).join(a, "i")).join(b, "j")
 
 
 def positional(seqs: DataFrame, item: str) -> DataFrame:

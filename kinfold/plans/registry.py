@@ -21,7 +21,7 @@ from ..operators import filters as FL
 from ..operators import neighbours as N
 from ..operators import pairs as P
 from ..operators import sketches as S
-from ..runtime import spread, table
+from ..runtime import cut, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -253,12 +253,12 @@ _SPAIR = f"""{_km(12)}, r as (select entity, cast({H('kmer')} % 64 as integer) a
 def _seq_similar(spark, d):
     """``[i, j]``: pairs with a quarter or more of their filled registers equal; reads of
     fewer distinct 12-mers than registers also by their exact Jaccard similarity."""
-    km = _kmers(spark, d, 12)
-    regs = S.oph(km, "kmer", 64)
+    sets = cut(C.exact_sets(_kmers(spark, d, 12), "kmer"))
+    regs = cut(S.oph(sets, "kmer", 64))
     near = P.with_filled(P.register_pairs(regs), regs, 64).where(F.col("eq") * 4 >= F.col("filled")).select("i", "j")
-    sets, n = C.exact_sets(km, "kmer"), C.cardinality(km, "kmer")
-    few = sets.join(n.where("card < 64").select("entity"), "entity").select(F.col("entity").alias("x"), "kmer")
-    met = few.join(sets.select(F.col("entity").alias("y"), "kmer"), "kmer").where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    n = cut(sets.groupBy("entity").agg(F.count(F.lit(1)).alias("card")))
+    few = P.shuffled(sets).join(n.where("card < 64").select("entity"), "entity").select(F.col("entity").alias("x"), "kmer")
+    met = P.shuffled(few).join(sets.select(F.col("entity").alias("y"), "kmer"), "kmer").where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
     met = met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "shared").distinct()
     exact = P.with_sizes(met, n, "card").where(F.col("shared") * 4 >= F.col("a") + F.col("b") - F.col("shared")).select("i", "j")
     return near.unionByName(exact).distinct()
@@ -268,7 +268,8 @@ def _seq_similar(spark, d):
 def seq_edit_distance(spark, d):
     s = _seqs(spark, d)
     x, y = s.select(F.col("entity").alias("i"), F.col("seq").alias("x")), s.select(F.col("entity").alias("j"), F.col("seq").alias("y"))
-    return _seq_similar(spark, d).join(x, "i").join(y, "j").select("i", "j", F.levenshtein("x", "y").alias("dist"))
+    left = P.shuffled(P.shuffled(_seq_similar(spark, d)).join(x, "i"))
+    return left.join(y, "j").select("i", "j", F.levenshtein("x", "y").alias("dist"))
 
 
 @query()

@@ -53,3 +53,19 @@ def test_positional_counts_runs_and_repeats(spark):
     rows = [(e, p, x) for e, xs in items.items() for p, x in enumerate(xs, 1)]
     got = {(r["i"], r["j"]): r["matches"] for r in pairs.positional(spark.createDataFrame(rows, "entity int, pos int, h int"), "h").collect()}
     assert got == {(1, 2): 67, (2, 3): 4}
+
+
+def _broadcast_features(df):
+    """Broadcasts of the first plan that hold exploded rows."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [next((k for k, c in enumerate(x) if c.isalpha()), 0) for x in lines]
+    found = []
+    for k, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((m for m in range(k + 1, len(lines)) if depth[m] <= depth[k]), len(lines))
+            found += [x for y in lines[k:end] if "Generate" in y]
+    return found
+
+
+def test_edit_distance_broadcasts_no_kmers(spark):
+    assert not _broadcast_features(registry.seq_edit_distance(spark, "/root/testdata/sf0.001"))
