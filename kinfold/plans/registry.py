@@ -498,12 +498,18 @@ _FINE = f"{_CSR}, h as (select entity, {H('cast(item as varchar)')} as h from m)
 def csr_knn_refined(spark, d):
     m = _csr(spark, d)
     # every set that shares one of 512 registers is rescored: recall 0.9 and more against
-    # csr_exact_knn, the exact form, whose neighbours may share a single item
-    cand = N.candidates(N.band_keys(S.oph(m, "item", 512), 512, 1)).select("i", "j")
-    x, y = m.select(F.col("entity").alias("i"), "item"), m.select(F.col("entity").alias("j"), "item")
-    exact = cand.join(x, "i").join(y, ["j", "item"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
+    # csr_exact_knn, the exact form, whose neighbours may share a single item. Sets share a
+    # register where an item is the smallest of its register in both, so the rows of one
+    # inverted index tell the candidates and what they share
+    h = h60(F.col("item"))
+    low = F.min("h").over(Window.partitionBy("entity", "reg"))
+    src = m.select("entity", "item", h.alias("h")).withColumn("reg", F.pmod("h", F.lit(512)).cast("int")).select("entity", "item", (F.col("h") == low).alias("low"))
+    x, y = src.select(F.col("entity").alias("i"), "item", F.col("low").alias("x")), src.select(F.col("entity").alias("j"), "item", F.col("low").alias("y"))
+    met = P.shuffled(x).join(y, "item").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("x") & F.col("y")).alias("near"))
+    exact = met.where("near").select("i", "j", "shared")
     sized = P.with_sizes(exact, C.cardinality(m, "item"), "card")
-    return N.topk(sized.select("i", "j", r9(F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("score")), "score", 3)
+    scored = sized.select("i", "j", r9(F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("score"))
+    return N.topk(N.both_ways(scored, "score"), "score", 3)
 
 
 @query(f"""with recursive {_EDGE}, od as (select entity, row_number() over (order by n desc, entity) as pos from n),
