@@ -71,6 +71,10 @@ def test_edit_distance_broadcasts_no_kmers(spark):
     assert not _broadcast_features(registry.seq_edit_distance(spark, "/root/testdata/sf0.001"))
 
 
+def test_minimizer_edit_broadcasts_no_items(spark):
+    assert not _broadcast_features(registry.seq_minimizer_edit(spark, "/root/testdata/sf0.001"))
+
+
 def test_refined_neighbours_join_items_once(spark):
     plan = registry.csr_knn_refined(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 3  # of rows by their item, and of the sizes
