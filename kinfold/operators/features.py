@@ -128,6 +128,18 @@ def shingles(df: DataFrame, entity: str, text: str, n: int = 5) -> DataFrame:
     return src.select("entity", F.explode(F.array_distinct(run)).alias("shingle")).distinct()
 
 
+def entity_words(df: DataFrame, entity: str, text: str) -> DataFrame:
+    """``[entity, words]``: the words of each of an entity's texts."""
+    src = df.where(F.col(entity).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(entity).alias("entity")).agg(F.collect_set(text).alias("t"))
+    return src.select("entity", F.transform("t", lambda t: F.split(F.lower(F.trim(t)), "\\s+")).alias("words"))
+
+
+def shingle_array(words: Column, n: int = 5) -> Column:
+    """The shingles, of ``shingles``, of an array of texts' words."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return F.flatten(F.transform(F.filter(words, lambda w: F.size(w) >= n), runs))
+
+
 def interval_items(df: DataFrame, entity: str, chrom: str, start: str, end: str, weight: str | None = None, normalize: bool = False) -> DataFrame:
     """``[entity, item, weight]``: the bases of half-open intervals. Weight 1, the interval's
     own, or 1/length with ``normalize``; intervals of no length give nothing."""

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,26 @@ def register_pairs(regs: DataFrame, value: str = "v", most: int = 4096) -> DataF
     return shuffled(left).join(right, ["reg", "v", "s"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("eq"))
 
 
+def likely_pairs(regs: DataFrame, size: int, share: float, errors: float) -> DataFrame:
+    """``[i, j]``, i < j, whose equal registers are at least ``share`` of the filled ones less
+    ``errors`` times their root. A pair fills as many registers as either side at least, so
+    it has one in common among each side's rarest that may not all differ."""
+    need = lambda n: share * n - errors * F.sqrt(n)
+    regs = regs.select("entity", "reg", "v")
+    often = regs.groupBy("reg", "v").agg(F.count(F.lit(1)).alias("f"))
+    by = Window.partitionBy("entity")
+    src = shuffled(regs).join(often.where("f > 1"), ["reg", "v"], "left").withColumn("n", F.count(F.lit(1)).over(by)).withColumn("r", F.row_number().over(by.orderBy(F.coalesce("f", F.lit(1)), "reg")))
+    rare = src.where((F.col("r") <= F.col("n") + 1 - F.greatest(F.ceil(need(F.col("n")) - 1e-9), F.lit(1))) & F.col("f").isNotNull())
+    pairs = register_pairs(rare).select("i", "j")
+    sig = regs.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("reg", "v"))).alias("m"))
+    sig = sig.select("entity", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("m", i.cast("int"))).alias("sig"))
+    left, right = sig.select(F.col("entity").alias("i"), F.col("sig").alias("x")), sig.select(F.col("entity").alias("j"), F.col("sig").alias("y"))
+    count = lambda f: F.aggregate(F.zip_with("x", "y", lambda p, q: F.when(f(p, q), 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
+    both = shuffled(shuffled(pairs).join(left, "i")).join(right, "j")
+    seen = both.select("i", "j", count(lambda p, q: p == q).alias("eq"), count(lambda p, q: p.isNotNull() | q.isNotNull()).alias("filled"))
+    return seen.where(F.col("eq") >= need(F.col("filled"))).select("i", "j")
+
+
 def with_filled(pairs: DataFrame, regs: DataFrame, size: int) -> DataFrame:
     """Adds ``filled``: how many registers are filled on either side. The equal share of
     these estimates the Jaccard similarity without bias, for short entities too."""

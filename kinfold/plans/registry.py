@@ -106,11 +106,11 @@ def doc_threshold_graph(spark, d):
     """Near-duplicate documents: exact Jaccard similarity of five-word shingles from 0.8 on.
     Sketches choose the pairs to verify: the equal share of the filled registers may lie
     five standard errors below 0.8, which a similar pair does once in some millions."""
-    sh = _shingles(spark, d)
-    likely = _doc_pairs(spark, d).where(F.col("eq") >= 0.8 * F.col("filled") - 2 * F.sqrt("filled")).select("i", "j")
-    x, y = sh.select(F.col("entity").alias("i"), "shingle"), sh.select(F.col("entity").alias("j"), "shingle")
-    met = likely.join(x, "i").join(y, ["j", "shingle"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"))
-    q = P.with_sizes(met, C.cardinality(sh, "shingle"), "card").withColumn("u", F.col("a") + F.col("b") - F.col("c"))
+    likely = P.likely_pairs(cut(S.oph(_shingles(spark, d), "shingle", 128)), 128, 0.8, 2)
+    docs = K.entity_words(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    x, y = docs.select(F.col("entity").alias("i"), F.col("words").alias("x")), docs.select(F.col("entity").alias("j"), F.col("words").alias("y"))
+    met = P.shuffled(P.shuffled(likely).join(x, "i")).join(y, "j").select("i", "j", K.shingle_array(F.col("x")).alias("x"), K.shingle_array(F.col("y")).alias("y"))
+    q = met.select("i", "j", F.size(F.array_intersect("x", "y")).alias("c"), F.size(F.array_union("x", "y")).alias("u"))
     return q.where(F.col("c") * 5 >= 4 * F.col("u")).select("i", "j", r9(F.col("c") / F.col("u")).alias("score"))
 
 

@@ -78,3 +78,26 @@ def test_minimizer_edit_broadcasts_no_items(spark):
 def test_refined_neighbours_join_items_once(spark):
     plan = registry.csr_knn_refined(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 3  # of rows by their item, and of the sizes
+
+
+def test_near_duplicates_broadcast_no_shingles(spark):
+    assert not _broadcast_features(registry.doc_threshold_graph(spark, "/root/testdata/sf0.001"))
+
+
+def test_likely_pairs_are_all_there(spark):
+    import random
+
+    from kinfold.operators import pairs
+
+    rng = random.Random(7)
+    docs = {e: {r: e // 3 for r in rng.sample(range(32), rng.choice((1, 2, 5, 20, 32)))} for e in range(60)}
+    for e, regs in docs.items():
+        regs.update({r: rng.choice((e, -1)) for r in list(regs) if rng.random() < 0.3})
+    rows = [(e, r, v) for e, regs in docs.items() for r, v in regs.items()]
+    got = {tuple(r) for r in pairs.likely_pairs(spark.createDataFrame(rows, "entity int, reg int, v long"), 32, 0.8, 2).collect()}
+    want = set()
+    for i in docs:
+        for j in docs:
+            eq, n = sum(docs[j].get(r) == v for r, v in docs[i].items()), len(set(docs[i]) | set(docs[j]))
+            want |= {(i, j)} if i < j and eq and eq >= 0.8 * n - 2 * n**0.5 else set()
+    assert want and got == want
