@@ -101,3 +101,8 @@ def test_likely_pairs_are_all_there(spark):
             eq, n = sum(docs[j].get(r) == v for r, v in docs[i].items()), len(set(docs[i]) | set(docs[j]))
             want |= {(i, j)} if i < j and eq and eq >= 0.8 * n - 2 * n**0.5 else set()
     assert want and got == want
+
+
+def test_nearest_documents_read_texts_once(spark):
+    plan = registry.doc_nearest_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "array_join" not in plan
