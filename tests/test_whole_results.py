@@ -1,5 +1,7 @@
 """Queries without SQL on fixtures that a cut of their candidates would leave out."""
 
+import pytest
+
 from kinfold.plans import registry
 
 
@@ -106,3 +108,40 @@ def test_likely_pairs_are_all_there(spark):
 def test_nearest_documents_read_texts_once(spark):
     plan = registry.doc_nearest_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "array_join" not in plan
+
+
+def test_containment_shuffles_no_pairs(spark):
+    plan = registry.file_containment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[query" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("cell", [4_000_000, 50])
+def test_containment_in_cells_equals_brute_force(spark, monkeypatch, cell):
+    import random
+
+    from kinfold.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "_CELL", cell)
+    rng = random.Random(5)
+    asked = [(None if e == 9 else e, rng.choice(["hot", "x", *map(str, range(30))])) for e in range(40) for _ in range(12)] + [(3, None), (50, "none")]
+    held = [(f"r{e}", x) for e in range(30) for x in ["hot", "hot", "own" + str(e), *map(str, rng.sample(range(30), e % 7))]] + [("r1", None), (None, "hot"), ("alone", "y")]
+    got = neighbours.containment(spark.createDataFrame(asked, "entity int, i string"), spark.createDataFrame(held, "ref string, i string"), "i", digits=3).collect()
+    want = {}
+    for q in {a for a, _ in asked}:
+        for r in {a for a, _ in held} - {None}:
+            has = {x for a, x in held if a == r and x}
+            n = [x for a, x in asked if a == q and x in has]
+            if n:
+                want[q, r] = (float(f"{len(set(n)) / len(has) + 1e-9:.3f}"), len(n) / len(set(n)))
+    assert len(got) == len(want) and {(r["query"], r["ref"]): (r["coverage"], r["mean_depth"]) for r in got} == want
+
+
+def test_shares_are_rounded_as_by_spark(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from kinfold.operators.neighbours import _half_up
+
+    x = [a / b for b in (1, 3, 7, 123, 1024, 2048, 3072, 5120) for a in range(1, b + 1)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
+    assert _half_up(np.array(x), 9).tolist() == want
