@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 _COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)%[^\n]*\n?[ \t]*")
+_PLAIN_COMMENT = re.compile(r"%(?<!\\%)[^\n]*\n?[ \t]*")  # the same, far faster, where no two backslashes precede a "%"
 _OFF = re.compile(r"\\iffalse(?![A-Za-z]).*?(?:\\fi(?![A-Za-z])|\Z)|\\begin\s*\{comment\}.*?(?:\\end\s*\{comment\}|\Z)", re.S)
 _END = re.compile(r"\\end\s*\{document\}|\\bye(?![A-Za-z])|\\endinput(?![A-Za-z])")
 _BEGIN = re.compile(r"\\begin\s*\{document\}")
@@ -13,8 +14,9 @@ _DEF = re.compile(
     r"(?:\\(?:re)?newcommand\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?\s*((?:\[[^\]]*\])*)|\\providecommand\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?\s*((?:\[[^\]]*\])*)"
     r"|\\(?:g|e|x)?def\s*\\([A-Za-z]+)\s*((?:#\d)*)|\\DeclareMathOperator\*?\s*\{\s*\\([A-Za-z]+)\s*\}())\s*\{"
 )
+#: Every alternative begins with a plain character, which the search then skips to.
 _MATH = re.compile(
-    r"\$\$.*?(?:\$\$|\Z)|(?<!\\)\$[^$]*(?:\$|\Z)|\\\[.*?(?:\\\]|\Z)|\\\(.*?(?:\\\)|\Z)"
+    r"\$\$.*?(?:\$\$|\Z)|\$(?<!\\\$)[^$]*(?:\$|\Z)|\\\[.*?(?:\\\]|\Z)|\\\(.*?(?:\\\)|\Z)"
     r"|\\begin\s*\{(equation|align|gather|multline|eqnarray|displaymath|math|tabular|array)(\*?)\}.*?(?:\\end\s*\{\1\2\}|\Z)",
     re.S,
 )
@@ -23,7 +25,8 @@ _DROP = re.compile(
     r"|graphicspath|vspace|hspace|begin|end|magnification|hypersetup|setlength|newtheorem|bibitem)\*?\s*(?:\[[^\]]*\]\s*)*\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*(?:\}(?:\{[^{}]*\})?|\Z)"
 )
 _PLAIN = re.compile(r"\\(?:input|magnification)[^\n{]*")
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]++(?:['’\-][^\W\d_]++)*+")
+_ASCII_WORD = re.compile(r"[a-z]++(?:['\-][a-z]++)*+")
 _ACCENT = re.compile(
     r"\\([\"'`^~=.]|[cvuHk](?![A-Za-z]))\s*(?:\{\s*(\\?[A-Za-z])\s*\}|(\\?[A-Za-z]))|\\([lLoOij]|ss|ae|AE|oe|OE|aa|AA)(?![A-Za-z])\s?(?:\{\})?"
 )
@@ -31,7 +34,9 @@ _ACCENT = re.compile(
 _MARK = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327", "v": "\u030c", "u": "\u0306", "H": "\u030b", "k": "\u0328"}
 _LETTER = {"l": "ł", "L": "Ł", "o": "ø", "O": "Ø", "i": "i", "j": "j", "ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "aa": "å", "AA": "Å"}
 _DOUBLE = re.compile("[\u00c2-\u00c3][\u0080-\u00bf]")
-_STOP = re.compile(r"[.!?;:](?=\s|$)|\n\s*\n")
+_MACRO = re.compile(r"\\([A-Za-z]+)(?:\s*\{\}|\\(?=\s))?")
+_MARKUP = re.compile(r"\\(?:[A-Za-z]+\*?|.)|\{|\}")
+_STOP = re.compile(r"[.!?;:\n](?:(?<!\n)(?=\s|$)|(?<=\n)\s*\n)")
 
 
 def _group(text: str, at: int) -> int:
@@ -84,7 +89,7 @@ def running_text(text: str | None) -> str:
     t = text.replace("\r\n", "\n").replace("\r", "\n").replace("\ufeff", "")
     if "\u00c3" in t or "\u00c2" in t:
         t = _DOUBLE.sub(_repair, t)
-    t = _OFF.sub(" ", _COMMENT.sub(r"\1", t))
+    t = _OFF.sub(" ", _COMMENT.sub(r"\1", t) if "\\\\%" in t else _PLAIN_COMMENT.sub("", t))
     if m := _END.search(t):
         t = t[: m.start()]
     t, macros = _definitions(t)
@@ -93,22 +98,23 @@ def running_text(text: str | None) -> str:
         if (i := head.find("\\title")) >= 0 and (j := head.find("{", i)) >= 0:
             t = head[j : _group(head, j)] + ".\n\n" + t
     t = _BIB.sub(" ", t)
+    used = True
+    spell = lambda m: m.group() if (x := macros.get(m.group(1))) is None else x
     for _ in range(4):
-        if not macros or "\\" not in t:
-            break
-        known = re.compile(r"\\(" + "|".join(sorted(macros, key=len, reverse=True)) + r")(?![A-Za-z])(?:\s*\{\}|\\(?=\s))?")
-        t, n = known.subn(lambda m: macros[m.group(1)], t)
-        if not n:
+        if not macros or "\\" not in t or not used:
             break
+        used = any(x in macros for x in _MACRO.findall(t))
+        t = _MACRO.sub(spell, t) if used else t
     t = _MATH.sub(" ", t)
     t = _PLAIN.sub(" ", _DROP.sub(" ", t))
     t = _ACCENT.sub(_accent, t)
     t = re.sub(r"\\(?:title|(?:sub)*section|chapter|paragraph|caption|centerline)\*?\s*(?:\[[^\]]*\])?\s*\{", "\n\n{", t)
     t = re.sub(r"\\beginsection\s", "\n\n", t).replace("\\par", "\n\n")
-    t = re.sub(r"\\[A-Za-z]+\*?|\\.|[{}]", " ", t.replace("\\-", "")).replace("~", " ")
+    t = _MARKUP.sub(" ", t.replace("\\-", "")).replace("~", " ")
     t = t.replace("\u00ad", "").replace("\u200b", "")
     return "\n".join(s for s in (" ".join(x.split()) for x in _STOP.split(t)) if s)
 
 
 def words(sentence: str) -> list[str]:
-    return _WORD.findall(sentence.lower())
+    s = sentence.lower()
+    return (_ASCII_WORD if s.isascii() else _WORD).findall(s)

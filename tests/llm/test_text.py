@@ -213,3 +213,49 @@ def test_subjects_of_one_labelled_document_each(spark):
     names = spark.createDataFrame([(x, x) for x in ["stars", "numbers", *"abcdefgh"]], "subject string, title string")
     got = {tuple(r) for r in subjects.document_subjects(docs, subjects.fit(docs, labels, names)).collect()}
     assert {(0, "stars"), (1, "numbers"), (2, "stars")} <= got and {i for i, _ in got} <= {0, 1, 2}
+
+
+def test_reading_compiles_no_pattern_for_a_text(monkeypatch):
+    import re
+
+    markup.running_text(TEX)
+    made, real = [], re._compiler.compile
+    monkeypatch.setattr(re._compiler, "compile", lambda *a: made.append(a) or real(*a))
+    t = "\\def\\xy{an \\zw{} end}\\newcommand{\\zw}{odd}\\begin{document}See \\xy\\ here, \\xyz\\ \\xy{} 5\\% \\\\% gone\n there \\zw.\\end{document}"
+    assert markup.running_text(t).split() == "See an odd end here, an odd end 5 there odd".split() and not made
+
+
+def test_threshold_needs_no_texts(spark):
+    model = subjects.SubjectModel(["a", "b"], np.array([0.5, 0.5]), {"en": {("red",): np.array([0.9, 0.1]), ("blue",): np.array([0.1, 0.9])}})
+    rows = [("en", "the red one\nit is red", ["a"]), ("en", "the blue one", ["b"]), ("en", "", ["a"])]
+    assert subjects._calibrated(spark.createDataFrame(rows, "lang string, words string, classes array<string>"), model, {"a": 0, "b": 1}) == 0.17
+
+
+def test_shares_follow_their_definition():
+    rng = np.random.default_rng(3)
+    prior = np.array([0.5, 0.3, 0.2])
+    grams = [("a",), ("b",), ("c",), ("a", "b"), ("c", "d", "e"), ("f", "a")]
+    single = {g: rng.dirichlet(prior) for g in grams}
+    double = {tuple(sorted((x, y))): rng.dirichlet(prior / 4) for x in grams for y in grams if x < y and rng.random() < 0.6}
+    model = subjects.SubjectModel(["x", "y", "z"], prior, {"en": single}, {"en": double})
+    for _ in range(50):
+        sentences = [[*rng.choice(list("abcdefg"), rng.integers(1, 25))] for _ in range(4)]
+        odds = []
+        for s in sentences:
+            found, at = [], 0
+            while at < len(s):
+                n = next((n for n in (4, 3, 2, 1) if at + n <= len(s) and tuple(s[at : at + n]) in single), 0)
+                found += [tuple(s[at : at + n])] if n else []
+                at += max(n, 1)
+            sure = [single[g] for g in found]
+            for i in range(len(found)):
+                for j in range(i + 1, min(i - i % 6 + 6, len(found))):
+                    p = double.get(tuple(sorted((found[i], found[j]))))
+                    for k in (i, j) if p is not None else ():
+                        sure[k] = p if p.max() > sure[k].max() else sure[k]
+            odds += [p / prior for p in sure]
+        share = np.full(3, 1 / 3)
+        for _ in range(15):
+            r = np.array(odds) * share
+            share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert np.allclose(model.shares_of("en", sentences), share, rtol=0, atol=1e-12)
