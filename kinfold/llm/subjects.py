@@ -152,13 +152,14 @@ def munch(sentence: list[str], items: dict, starts: dict[str, list[int]]) -> lis
 def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
     """``[doc_id, text, classes]`` of at most ``sample`` labelled documents, chosen by a
     hash of their id, and the subjects as spelled in answers. Labels of no known subject
-    are left out, repeated ones count once."""
+    are left out, repeated ones count once. The chosen ids, at most ``sample``, go to the
+    documents, so that no other text is shuffled or sorted."""
     names = [r[0] for r in subjects.select("subject").where("subject is not null").distinct().orderBy("subject").collect()]
     known = subjects.where("subject is not null").select(normal_subject(F.col("subject")).alias("key"), F.col("subject").alias("s")).dropDuplicates(["key"])
     pairs = labels.where("doc_id is not null").select("doc_id", normal_subject(F.col("subject")).alias("key")).join(known, "key")
     chosen = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("classes")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    return cut(texts), names
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return texts, names
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 20_000) -> SubjectModel:

@@ -215,6 +215,31 @@ def test_subjects_of_one_labelled_document_each(spark):
     assert {(0, "stars"), (1, "numbers"), (2, "stars")} <= got and {i for i, _ in got} <= {0, 1, 2}
 
 
+def test_only_labelled_texts_are_shuffled(spark):
+    """Texts that no label refers to stay where they are read, whatever the size of the tables."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(1000))) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, "A"), (0, "a"), (1, "b"), (1, "A"), (7, "unknown"), (900, "b")], "doc_id bigint, subject string")
+    names = spark.createDataFrame([("a",), ("b",)], "subject string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, sc.statusStore().__getattr__("stageList$default$4")(), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts, subs = subjects.labelled_sample(docs, labels, names, 20_000)
+        got = sorted(map(tuple, texts.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(0, rows[0][1], ["a"]), (1, rows[1][1], ["a", "b"])] and subs == ["a", "b"]
+    assert written() - before < 200_000
+
+
 def test_reading_compiles_no_pattern_for_a_text(monkeypatch):
     import re
 
